@@ -38,10 +38,30 @@ def _remove_local(uri: str) -> None:
     shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
 
 
+_written: list[str] = []
+
+
+@atexit.register
+def _forget() -> None:
+    """Delete what this driver stored, while its session still lives."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return
+    try:
+        for path in _written:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the JVM has gone: the cluster clears its folder
+        return
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back: cuts lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mhr/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

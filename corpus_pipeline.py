@@ -5,11 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mhr.llm import quality
+from mhr.llm import mixing, ngram_join, packing, pii, quality
 from mhr.llm.common import stored
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Ids of dropped copies that are broadcast, at most; more are joined by shuffle.
+BROADCAST = 2_000_000
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each connected group of near duplicates, and all that have none."""
+    drop = stored(ngram_join.near_duplicate_groups(docs).where("doc_id <> keeper").select(F.col("doc_id").alias("_dropped")), "dropped")
+    side = F.broadcast(drop) if drop.count() <= BROADCAST else drop.hint("shuffle_hash")
+    return docs.join(side, docs.doc_id == side._dropped, "left_anti")
+
+
+def private_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data redacted; n_chars follows the text."""
+    return pii.redact_column(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents chosen so that sources have their target weights."""
+    return mixing.mix_rows(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document stands in which training sequence."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each_group),
+    ("pii", private_data_out),
+    ("mixing", mixed_sources),
+    ("packing", packed),
+]
+#: SQL can't express the classifiers and searches of these stages; tests hold `run` against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -9,7 +9,8 @@ cuts the hash domain into the same partitions.
   differ, so one subset agrees.
 * Larger k: n1 partitions, each a signature (the subsets of size one of one-partition groups); at least n1 - k agree.
   Signatures are ordered by how many n-grams they hold, which is the same for both sets where they agree, and by the
-  prefix principle the first k + 1 of each set suffice: poor and empty partitions are not sent at all.
+  prefix principle two sets share l of the first k + l of each: poor and empty partitions are not sent at all, and pairs
+  that share fewer than l signatures (LEVEL, or what the band allows) aren't looked at.  The low bits of a signature hold l.
 Both are exact; there is no cap on bucket sizes, candidates or partners.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import keyed_text, mix, split_words, stored, text_chunks, words
 
 N, THRESHOLD = 2, 0.8
-RATIO, ENUMERATE, LARGEST = 1.6, 3, 1 << 40
+RATIO, ENUMERATE, LEVEL, LARGEST = 1.6, 3, 3, 1 << 40
 #: Rows of signatures for one task, candidate pairs for one verification task, candidates that are broadcast.
 SIGNATURES, PAIRS, BROADCAST = 2_000_000, 20_000, 2_000_000
 
@@ -90,12 +91,13 @@ def signatures(g: np.ndarray, t: float) -> np.ndarray:
         h = mix((a ^ (b << np.uint64(22))) * _C1 + b + mix(np.arange(n, dtype=np.uint64) + np.uint64(c << 40)))
         if enumerated:
             h = np.array([h[list(s)].sum() for s in combinations(range(n), 3)], np.uint64)
-            out.append(mix(h))
+            out.append((mix(h) << np.uint64(2)) | np.uint64(1))
         else:
             top = high if size > high else LARGEST  # a set above the band has its partners in it
-            keep = min(n, _most(size, top, t) + 1)
+            level = min(LEVEL, n - limit)
+            keep = min(n, _most(size, top, t) + level)
             order = (count.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20))
-            out.append(h[np.argpartition(order, n - keep)[n - keep :]])
+            out.append((h[np.argpartition(order, n - keep)[n - keep :]] << np.uint64(2)) | np.uint64(level))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -142,7 +144,7 @@ def _signed(n: int, t: float):
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes that share a signature in this partition, each once."""
+    """Pairs of nodes that share signatures of this partition, each once, with how many and the least level."""
     got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not got:
         return
@@ -151,30 +153,33 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.argsort(sig)
     sig, node = sig[order], node[order]
     edge = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    size = np.diff(np.append(edge, len(sig)))
-    many = size > 1
-    found, held = [], 0
-    two = edge[many & (size == 2)]
-    if len(two):
-        found.append(np.stack([np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1])]))
-    for lo, k in zip(edge[size > 2], size[size > 2]):
+    size, level = np.diff(np.append(edge, len(sig))), sig[edge] & 3
+    two = edge[size == 2]
+    found, held = [_pairs(np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1]), level[size == 2])], 0
+    for lo, k, l in zip(edge[size > 2], size[size > 2], level[size > 2]):
         x = np.unique(node[lo : lo + k])
-        for i in range(0, len(x) - 1):  # a row of the pair triangle at a time
-            found.append(np.stack([np.full(len(x) - i - 1, x[i]), x[i + 1 :]]))
+        for i in range(len(x) - 1):  # a row of the pair triangle at a time
+            found.append(_pairs(np.full(len(x) - i - 1, x[i]), x[i + 1 :], l))
             held += len(x) - i - 1
-            if held > 4_000_000:
-                found, held = [_distinct(found)], 0
-    if found:
-        a, b = _distinct(found)
-        for i in range(0, len(a), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 200_000]), pa.array(b[i : i + 200_000])], ["a", "b"])
+            if held > 2_000_000:
+                found, held = [_counted(found)], 0
+    pairs = _counted(found)
+    for i in range(0, pairs.shape[1], 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in pairs], ["a", "b", "n", "level"])
 
 
-def _distinct(found: list[np.ndarray]) -> np.ndarray:
+def _pairs(a: np.ndarray, b: np.ndarray, level) -> np.ndarray:
+    return np.stack([a, b, np.ones(len(a), np.int64), np.broadcast_to(level, a.shape)])
+
+
+def _counted(found: list[np.ndarray]) -> np.ndarray:
     p = np.concatenate(found, axis=1)
     p = p[:, p[0] != p[1]]
     p = p[:, np.lexsort((p[1], p[0]))]
-    return p[:, np.append(True, (p[:, 1:] != p[:, :-1]).any(0))[: p.shape[1]]]
+    if not p.shape[1]:
+        return p
+    at = np.flatnonzero(np.append(True, (p[:2, 1:] != p[:2, :-1]).any(0)))
+    return np.stack([p[0, at], p[1, at], np.add.reduceat(p[2], at), np.minimum.reduceat(p[3], at)])
 
 
 def _verify(n: int, t: float):
@@ -217,9 +222,9 @@ def node_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col
     total = nodes.agg(F.sum(F.size("docs") * F.col("size"))).first()[0] or 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = (
-        texts.mapInArrow(_signed(n, threshold), "sig bigint, node bigint").repartition(max(width, ceil(total * 0.4 / SIGNATURES)), "sig").mapInArrow(_collide, "a bigint, b bigint")
+        texts.mapInArrow(_signed(n, threshold), "sig bigint, node bigint").repartition(max(width, ceil(total * 0.4 / SIGNATURES)), "sig").mapInArrow(_collide, "a bigint, b bigint, n bigint, level bigint")
     )
-    pairs = stored(pairs.distinct(), "candidates")
+    pairs = stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("level").alias("level")).where("n >= level").select("a", "b"), "candidates")
     count = pairs.count()
     # A pair goes to the task of the least neighbour of its first node, so that a group's texts are sent about once.
     least = pairs.groupBy("a").agg(F.min("b").alias("least_b")).join(pairs.groupBy(F.col("b").alias("a")).agg(F.min(F.col("a")).alias("least_a")), "a", "full")

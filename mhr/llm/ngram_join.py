@@ -12,6 +12,11 @@ cuts the hash domain into the same partitions.
   prefix principle two sets share l of the first k + l of each: poor and empty partitions are not sent at all, and pairs
   that share fewer than l signatures (LEVEL, or what the band allows) aren't looked at.  The low bits of a signature hold l.
 Both are exact; there is no cap on bucket sizes, candidates or partners.
+
+Clusters.  Sets that share ROWS min-hashes in one of GROUPS groups are linked, and connected sets make a cluster.  Pairs
+inside a cluster are all compared where the cluster's texts are brought together, a tile of TILE x TILE sets at a time;
+signatures need only find the pairs between clusters.  So the many pairs of a large group of copies are never shuffled as
+candidates.  Clusters decide where a pair is found, not whether.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ N, THRESHOLD = 2, 0.8
 RATIO, ENUMERATE, LEVEL, LARGEST = 1.6, 3, 3, 1 << 40
 #: Rows of signatures for one task, candidate pairs for one verification task, candidates that are broadcast.
 SIGNATURES, PAIRS, BROADCAST = 2_000_000, 20_000, 2_000_000
+GROUPS, ROWS, TILE, TEXTS = 8, 6, 1500, 4000
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -101,42 +107,60 @@ def signatures(g: np.ndarray, t: float) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int | None, np.ndarray]]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int, also: str | None = None) -> Iterator[tuple]:
+    """(id, or (id, value of the column `also`); set) of each text with a word."""
     for batch in batches:
-        ids = batch.column(0)
+        ids = batch.column(0).to_pylist()
+        if also:
+            ids = list(zip(ids, batch.column(batch.schema.get_field_index(also)).to_pylist()))
         for lo, hi, buf, offs in text_chunks(batch, "text"):
             h, _, _, ptr = words(buf, offs)
             for i in range(hi - lo):
                 if ptr[i + 1] > ptr[i]:
-                    yield ids[lo + i].as_py(), grams(h[ptr[i] : ptr[i + 1]], n)
+                    yield ids[lo + i], grams(h[ptr[i] : ptr[i + 1]], n)
+
+
+_ODD = mix(np.arange(1, GROUPS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def cluster_keys(g: np.ndarray) -> np.ndarray:
+    """A key for each group of min-hashes; long sets a piece at a time, to bound memory."""
+    least = np.full(GROUPS * ROWS, ~np.uint64(0))
+    for i in range(0, len(g), 4096):
+        x = g[i : i + 4096, None] * _ODD
+        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(0))
+    least = mix(least).reshape(GROUPS, ROWS)
+    return mix((least * mix(np.arange(ROWS, dtype=np.uint64) + _C1)).sum(1) + np.arange(GROUPS, dtype=np.uint64)).view(np.int64)
 
 
 def _nodes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, node_of(g), len(g)) for i, g in _sets([batch], n)]
+            rows = [(i, row, node_of(g), len(g), cluster_keys(g)) for (i, row), g in _sets([batch], n, "row")]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "node", "size"])
+                *cols, keys = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "node", "size", "keys"])
 
     return run
 
 
 def _signed(n: int, t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes, held = [], [], 0
+        sigs, nodes, labels, held = [], [], [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sigs, nodes)], ["sig", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sigs, nodes, labels)], ["sig", "node", "label"])
 
-        for _, g in _sets(batches, n):
+        for (_, label), g in _sets(batches, n, "label"):
             s = signatures(g, t)
             if len(s):
                 sigs.append(s)
                 nodes.append(np.full(len(s), node_of(g), np.int64).view(np.uint64))
+                labels.append(np.full(len(s), label or 0, np.int64).view(np.uint64))
                 held += len(s)
             if held > 100_000:
                 yield out()
-                sigs, nodes, held = [], [], 0
+                sigs, nodes, labels, held = [], [], [], 0
         if held:
             yield out()
 
@@ -145,22 +169,29 @@ def _signed(n: int, t: float):
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of nodes that share signatures of this partition, each once, with how many and the least level."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    got = [tuple(c.to_numpy() for c in b.columns) for b in batches]
     if not got:
         return
-    sig, node = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+    sig, node, label = (np.concatenate(x) for x in zip(*got))
     del got
     order = np.argsort(sig)
-    sig, node = sig[order], node[order]
+    sig, node, label = sig[order], node[order], label[order]
     edge = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     size, level = np.diff(np.append(edge, len(sig))), sig[edge] & 3
+    apart = lambda x, y: (label[x] != label[y]) | (label[x] == 0)
     two = edge[size == 2]
-    found, held = [_pairs(np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1]), level[size == 2])], 0
+    ok = apart(two, two + 1)
+    two = two[ok]
+    found, held = [_pairs(np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1]), level[size == 2][ok])], 0
     for lo, k, l in zip(edge[size > 2], size[size > 2], level[size > 2]):
-        x = np.unique(node[lo : lo + k])
-        for i in range(len(x) - 1):  # a row of the pair triangle at a time
-            found.append(_pairs(np.full(len(x) - i - 1, x[i]), x[i + 1 :], l))
-            held += len(x) - i - 1
+        _, at = np.unique(node[lo : lo + k], return_index=True)
+        at += lo
+        if len(at) > 1 and label[at[0]] and (label[at] == label[at[0]]).all():
+            continue
+        for i in range(len(at) - 1):  # a row of the pair triangle at a time
+            more = at[i + 1 :][apart(at[i], at[i + 1 :])]
+            found.append(_pairs(np.full(len(more), node[at[i]]), node[more], l))
+            held += len(more)
             if held > 2_000_000:
                 found, held = [_counted(found)], 0
     pairs = _counted(found)
@@ -185,7 +216,7 @@ def _counted(found: list[np.ndarray]) -> np.ndarray:
 def _verify(n: int, t: float):
     def run(key, texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         sets = {}
-        batch = pa.RecordBatch.from_pydict({"doc_id": texts["doc_id"].to_numpy(), "text": pa.array(texts["text"], pa.string())})
+        batch = pa.RecordBatch.from_pydict({"row": texts["row"].to_numpy(), "text": pa.array(texts["text"], pa.string())})
         for _, g in _sets([batch], n):
             sets[node_of(g)] = g
         out = []
@@ -206,8 +237,50 @@ def _verify(n: int, t: float):
     return run
 
 
+def _inside(n: int, t: float):
+    """All similar pairs of a task's tiles: rows (label, i, j, c, text), c being the chunk of the set, i or j."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, i, j), part in pdf.groupby(["label", "i", "j"], sort=False):
+            batch = pa.RecordBatch.from_pydict({"c": pa.array(part["c"], pa.int64()), "text": pa.array(part["text"], pa.string())})
+            found = {node_of(g): (c, g) for c, g in _sets([batch], n)}
+            nodes = sorted(found)
+            chunk, size = np.array([found[x][0] for x in nodes]), np.array([len(found[x][1]) for x in nodes])
+            names = np.array(nodes, np.int64)
+            distinct, flat = np.unique(np.concatenate([found[x][1] for x in nodes]), return_inverse=True)
+            ptr = np.append(0, np.cumsum(size))
+            mark = np.zeros(len(distinct), np.int64)
+            for x in range(len(nodes) - 1):
+                mark[flat[ptr[x] : ptr[x + 1]]] = 1
+                both = np.add.reduceat(mark[flat[ptr[x + 1] :]], ptr[x + 1 : -1] - ptr[x + 1])
+                mark[flat[ptr[x] : ptr[x + 1]]] = 0
+                jac = both / (size[x] + size[x + 1 :] - both)
+                hit = np.flatnonzero((jac >= t - 1e-12) & ((i == j) | (chunk[x] != chunk[x + 1 :])))
+                if len(hit):
+                    out.append((np.full(len(hit), names[x]), names[x + 1 + hit], jac[hit]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pd.DataFrame(dict(zip(("a", "b", "jaccard"), cols)))
+
+    return run
+
+
 def _docs_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return keyed_text(docs, id_col, text_col).where("doc_id is not null and text is not null")
+    """(doc_id, text, row): row tells texts of one id apart."""
+    return keyed_text(docs, id_col, text_col).where("doc_id is not null and text is not null").withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def _small(side: DataFrame, key: str) -> DataFrame:
+    """A stored side to join by `key`: broadcast up to BROADCAST rows, beyond it hashed in a shuffle."""
+    return F.broadcast(side) if side.count() <= BROADCAST else side.hint("shuffle_hash")
+
+
+def clusters(nodes: DataFrame) -> DataFrame:
+    """(node, label), stored: nodes that share a key are linked; connected nodes have one label, those alone none."""
+    shared = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("all")).where(F.size("all") > 1)
+    edges = shared.select(F.col("all")[0].alias("u"), F.explode(F.slice("all", F.lit(2), F.size("all") - 1)).alias("v"))
+    # Labels are node ids, which are hashes; 0 stands for none.
+    return stored(components(edges).select(F.col("id").alias("node"), F.when(F.col("root") == 0, 1).otherwise(F.col("root")).alias("label")), "clusters")
 
 
 def node_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -216,14 +289,31 @@ def node_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col
     spark = docs.sparkSession
     texts = _docs_of(docs, id_col, text_col)
     nodes = stored(
-        texts.mapInArrow(_nodes(n), "doc_id bigint, node bigint, size bigint").groupBy("node").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.first("size").alias("size")),
+        texts.mapInArrow(_nodes(n), "doc_id bigint, row bigint, node bigint, size bigint, keys array<bigint>").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.collect_set("row").alias("rows"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.first("size").alias("size"), F.first("keys").alias("keys")),
         "nodes",
     )
-    total = nodes.agg(F.sum(F.size("docs") * F.col("size"))).first()[0] or 0
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = (
-        texts.mapInArrow(_signed(n, threshold), "sig bigint, node bigint").repartition(max(width, ceil(total * 0.4 / SIGNATURES)), "sig").mapInArrow(_collide, "a bigint, b bigint, n bigint, level bigint")
-    )
+    total, count = nodes.agg(F.sum(F.size("docs") * F.col("size")), F.count("*")).first()
+    label = clusters(nodes)
+    known = stored(nodes.join(label, "node").select("label", "row", "rows"), "known")
+    return nodes, stored(_between(texts, known, nodes, total or 0, n, threshold).unionByName(_within(texts, known, n, threshold)), "pairs")
+
+
+def _within(texts: DataFrame, known: DataFrame, n: int, t: float) -> DataFrame:
+    """Similar pairs inside clusters."""
+    sized = known.select("label", "row", F.ceil(F.count("*").over(_by("label")) / F.lit(TILE)).alias("k")).withColumn("c", F.pmod(F.xxhash64("row"), F.col("k")))
+    other = sized.select("label", "row", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("d"))
+    tiles = stored(other.select("label", "row", "c", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j")), "tiles")
+    tasks = max(1, ceil(tiles.count() / TEXTS))
+    tiles = tiles.withColumn("task", F.pmod(F.xxhash64("label", "i", "j"), F.lit(tasks)))
+    return texts.join(_small(tiles, "row"), "row").select("task", "label", "i", "j", "c", "text").groupBy("task").applyInPandas(_inside(n, t), "a bigint, b bigint, jaccard double")
+
+
+def _between(texts: DataFrame, known: DataFrame, nodes: DataFrame, total: int, n: int, t: float) -> DataFrame:
+    """Similar pairs of which no cluster holds both."""
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = stored(known.select(F.explode("rows").alias("row"), "label").distinct(), "labels")
+    signed = texts.join(_small(labels, "row"), "row", "left").mapInArrow(_signed(n, t), "sig bigint, node bigint, label bigint")
+    pairs = signed.repartition(max(width, ceil(total * 0.4 / SIGNATURES)), "sig").mapInArrow(_collide, "a bigint, b bigint, n bigint, level bigint")
     pairs = stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("level").alias("level")).where("n >= level").select("a", "b"), "candidates")
     count = pairs.count()
     # A pair goes to the task of the least neighbour of its first node, so that a group's texts are sent about once.
@@ -233,13 +323,9 @@ def node_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col
     wide = F.ceil(F.count("*").over(_by("label")) / F.lit(4 * PAIRS))
     keyed = pairs.join(label, "a").withColumn("wide", wide)
     keyed = stored(keyed.select("a", "b", F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("wide"))), F.lit(tasks)).alias("task")), "tasks")
-    need = keyed.select("task", F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
-    ids = need.select("doc_id").distinct()
-    few = ids.count() <= BROADCAST
-    wanted = texts.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    sent = need.join(wanted, "doc_id").select("task", "doc_id", "text")
-    good = sent.groupBy("task").cogroup(keyed.select("a", "b", F.col("task").alias("at")).groupBy("at")).applyInPandas(_verify(n, threshold), "a bigint, b bigint, jaccard double")
-    return nodes, stored(good, "pairs")
+    need = stored(keyed.select("task", F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node").select("task", "row"), "need")
+    sent = texts.join(_small(need, "row"), "row").select("task", "row", "text")
+    return sent.groupBy("task").cogroup(keyed.select("a", "b", F.col("task").alias("at")).groupBy("at")).applyInPandas(_verify(n, t), "a bigint, b bigint, jaccard double")
 
 
 def _by(*cols: str):

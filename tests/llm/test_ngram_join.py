@@ -30,9 +30,9 @@ def test_equals_brute_force(spark, n, t):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, "..."), (4, "One two"), (5, "one TWO!"), (5, "one TWO!"), (None, "one two"), (6, "x " * 50_000), (7, "x"), (8, "x x")]
+    rows = [(1, None), (2, ""), (3, "..."), (4, "One two"), (5, "one TWO!"), (5, "one TWO!"), (5, "q r s t u v"), (9, "q r s t u v"), (None, "one two"), (6, "x " * 50_000), (7, "x"), (8, "x x")]
     got = j.ngram_jaccard_join(spark.createDataFrame([(i, x, "a", 1) for i, x in rows], SCHEMA))
-    assert {(r.doc_a, r.doc_b) for r in j.expand_pairs(got).collect()} == j.brute_force(rows) == {(4, 5), (6, 8)}
+    assert {(r.doc_a, r.doc_b) for r in j.expand_pairs(got).collect()} == j.brute_force(rows) == {(4, 5), (5, 9), (6, 8)}
     assert j.ngram_jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
 

@@ -305,8 +305,8 @@ l AS (SELECT *, lambda_len AS len FROM (SELECT *, list_transform(range(n), lambd
 f AS (SELECT *, n - vbr::INT - cut::INT AS frames, CASE WHEN s % 4 < 2 THEN 21 + length('doc ' || s) ELSE 0 END AS head, CASE WHEN v1 THEN 44100 ELSE 22050 END AS rate, CASE WHEN v1 THEN 1152 ELSE 576 END AS per FROM l)
 SELECT s AS doc_id, CASE WHEN v1 THEN '1' ELSE '2' END AS version, 3 AS layer, rate AS sample_rate, 2 AS channels, frames::BIGINT AS frames, (frames * per)::BIGINT AS samples,
   ((frames * per * 1000000 + rate // 2) // rate)::BIGINT AS duration_us, vbr, CASE WHEN vbr THEN 'Xing' END AS "table", CASE WHEN vbr THEN n - 1 END::BIGINT AS declared_frames,
-  CASE WHEN s % 4 <> 3 THEN 'doc ' || s END AS title, ((CASE WHEN s % 7 = 0 THEN 4 ELSE 0 END) + (CASE WHEN cut THEN len[n] // 2 ELSE 0 END))::BIGINT AS skipped_bytes, cut AS truncated,
-  CASE WHEN prot THEN n - cut::INT - (s % 9 = 0)::INT ELSE 0 END::BIGINT AS crc_ok, CASE WHEN s % 9 = 0 THEN 1 ELSE 0 END::BIGINT AS crc_bad,
+  CASE WHEN vbr THEN array_to_string(list_transform(range(100), lambda k: k * 255 // 99), ' ') ELSE '' END AS toc, CASE WHEN s % 4 <> 3 THEN 'doc ' || s END AS title, NULL::VARCHAR AS artist, ((CASE WHEN s % 7 = 0 THEN 4 ELSE 0 END) + (CASE WHEN cut THEN len[n] // 2 ELSE 0 END))::BIGINT AS skipped_bytes, cut AS truncated,
+  CASE WHEN prot THEN n - cut::INT - (s % 9 = 0)::INT ELSE 0 END::BIGINT AS crc_ok, CASE WHEN s % 9 = 0 THEN 1 ELSE 0 END::BIGINT AS crc_bad, 0::BIGINT AS crc_unread,
   list_aggregate(list_transform(range(vbr::INT, n - cut::INT), lambda i: (head + coalesce(list_sum(len[1:i]), 0) + CASE WHEN i >= 5 AND s % 7 = 0 THEN 4 ELSE 0 END)::BIGINT::VARCHAR), 'string_agg', ' ') AS seek
 FROM f
 """

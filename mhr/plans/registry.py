@@ -1,6 +1,598 @@
-"""Registered queries of the retrieval engine and their SQL twins."""
+"""Registered queries of the retrieval engine and their SQL twins.  Every vector is a query, every benchmark text a search."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mhr.functions import vectors as V
+from mhr.functions.text import STOP_WORDS, words_with_positions
+from mhr.operators import bm25, fusion, ivf, learn, metrics, search, shard
+from mhr.sources import store
+from mhr.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+HEADS = ("semantic", "temporal", "structural")
+WEIGHTS = {"semantic": 0.5, "temporal": 0.3, "structural": 0.2}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def wide(spark: SparkSession, sf_dir: str, key: str = "doc_num") -> DataFrame:
+    """A column a head: the vector, its reverse, and it rotated by a quarter."""
+    v = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(key), v.alias("semantic"), F.reverse(v).alias("temporal"), V.rotate_left(v, 16).alias("structural"))
+
+
+def asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries: every vector, the same for all heads."""
+    v = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), *[v.alias(h) for h in HEADS])
+
+
+def plain(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(key), F.col("embedding").alias("vec"))
+
+
+def shown(df: DataFrame, places: int = 9) -> DataFrame:
+    return df.withColumn("score", F.round("score", places))
+
+
+V_SQL = """WITH v AS (SELECT vec_id AS doc_num, embedding::DOUBLE[] AS semantic, list_reverse(embedding)::DOUBLE[] AS temporal, list_concat(embedding[17:64], embedding[1:16])::DOUBLE[] AS structural FROM embeddings),
+hv AS (SELECT doc_num, 'semantic' AS head, semantic AS vec FROM v UNION ALL SELECT doc_num, 'temporal', temporal FROM v UNION ALL SELECT doc_num, 'structural', structural FROM v),
+q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings)"""
+COS = "round(greatest(-1, least(1, list_cosine_similarity(qv, vec))), 9)"
+
+
+def lists_sql(m: int, heads: str = "true") -> str:
+    return f"""{V_SQL},
+s AS (SELECT qid, head, doc_num, {COS} AS score FROM q, hv WHERE {heads}),
+l AS (SELECT *, row_number() OVER (PARTITION BY qid, head ORDER BY score DESC, doc_num) AS rank FROM s QUALIFY rank <= {m}),
+n AS (SELECT qid, head, doc_num, rank, CASE WHEN max(score) OVER (PARTITION BY qid, head) > 0 THEN score / max(score) OVER (PARTITION BY qid, head) ELSE score END AS score FROM l)"""
+
+
+def fused_sql(w: str, k: int | None, source: str = "n") -> str:
+    return f"""f AS (SELECT qid, doc_num, round(sum(score * ({w})), 9) AS score FROM {source} GROUP BY ALL),
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, score FROM f{f' QUALIFY rank <= {k}' if k else ''})"""
+
+
+OUT = "SELECT qid, rank, doc_num, round(score, 9) AS score FROM r"
+BY_HEAD = "CASE head WHEN 'semantic' THEN 0.5 WHEN 'temporal' THEN 0.3 ELSE 0.2 END"
+
+
+def attend_sql(w: str, heads: str = "true", k: int = 10) -> str:
+    return f"{lists_sql(max(5 * k, 20), heads)},\n{fused_sql(w, k)}\n{OUT}"
+
+
+# ---------------------------------------------------------------- attend
+
+
+@query(attend_sql("1.0 / 3"))
+def attend_uniform(spark, sf):
+    return shown(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS))
+
+
+@query(attend_sql(BY_HEAD))
+def attend_weighted(spark, sf):
+    return shown(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS, weights=WEIGHTS))
+
+
+@query(attend_sql("CASE head WHEN 'temporal' THEN 0.5 ELSE 1 END"))
+def attend_temporal_decay(spark, sf):
+    return shown(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS, weights={}, temporal_decay=0.5))
+
+
+@query(attend_sql(BY_HEAD, "head <> 'structural'"))
+def attend_min_weight(spark, sf):
+    return shown(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS, weights=WEIGHTS, min_weight=0.25))
+
+
+@query(attend_sql("1.0 / 4"))
+def attend_missing_head(spark, sf):
+    """A head that isn't there keeps its share of the uniform weight to itself."""
+    return shown(fusion.attend(wide(spark, sf), asking(spark, sf), (*HEADS, "relational")))
+
+
+GATE = ([[math.cos(h + j) for j in range(64)] for h in range(3)], [0.1, 0.0, -0.1])
+GATE_SQL = """g0 AS (SELECT qid, [list_dot_product(list_transform(range(64), lambda j: cos(0 + j)), qv) + 0.1, list_dot_product(list_transform(range(64), lambda j: cos(1 + j)), qv), list_dot_product(list_transform(range(64), lambda j: cos(2 + j)), qv) - 0.1] AS z FROM q),
+g AS (SELECT qid, unnest(['semantic', 'temporal', 'structural']) AS head, unnest(list_transform(z, lambda x: exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z)))))) AS gate FROM g0)"""
+
+
+def gates(spark, sf):
+    return fusion.gate(plain(spark, sf, "qid"), *GATE, HEADS, "vec")
+
+
+@query(f"{V_SQL},\n{GATE_SQL}\nSELECT qid, head, round(gate, 6) AS gate FROM g")
+def gating_softmax(spark, sf):
+    return gates(spark, sf).withColumn("gate", F.round("gate", 6))
+
+
+@query(f"{lists_sql(50)},\n{GATE_SQL},\nw AS (SELECT * FROM n JOIN g USING (qid, head)),\n{fused_sql('gate', 10, 'w')}\n{OUT}")
+def attend_gated(spark, sf):
+    return shown(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS, gates=gates(spark, sf)))
+
+
+@query(f"{lists_sql(80)},\n{fused_sql('1.0 / 3', 16)},\nh AS (SELECT *, max(rank) OVER (PARTITION BY qid) > 15 AS has_more FROM r)\nSELECT qid, rank, doc_num, round(score, 9) AS score, has_more FROM h WHERE rank > 5 AND rank <= 15")
+def attend_page(spark, sf):
+    """Ranks 6 to 15, with one row more looked at."""
+    return shown(search.page(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS, 16), 5, 10))
+
+
+@query(f"{lists_sql(50)},\n{fused_sql('1.0 / 3', 10)}\nSELECT qid, rank, doc_num, round(score, 9) AS score, lang, source, n_chars FROM r LEFT JOIN documents ON doc_id = doc_num")
+def attend_hydrated(spark, sf):
+    return shown(fusion.hydrate(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS), table(spark, sf, "documents"), ["lang", "source", "n_chars"]))
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+def knn_sql(score: str, k: int = 10) -> str:
+    return f"""WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS doc_num, round({score}, 9) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) a, (SELECT vec_id, embedding::DOUBLE[] AS y FROM embeddings) b),
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, score FROM s QUALIFY rank <= {k})"""
+
+
+COS2 = "greatest(-1, least(1, list_cosine_similarity(x, y)))"
+
+
+@query(f"{knn_sql(COS2)}\n{OUT}")
+def knn_cosine(spark, sf):
+    return shown(search.knn(plain(spark, sf, "doc_num"), plain(spark, sf, "qid"), 10))
+
+
+@query(f"{knn_sql('list_dot_product(x, y)')}\n{OUT}")
+def knn_dot(spark, sf):
+    return shown(search.knn(plain(spark, sf, "doc_num"), plain(spark, sf, "qid"), 10, "dot_product"))
+
+
+@query(f"{knn_sql('-list_distance(x, y)')}\nSELECT qid, rank, doc_num, round(score, 9) + 0.0 AS score FROM r")
+def knn_l2(spark, sf):
+    return search.knn(plain(spark, sf, "doc_num"), plain(spark, sf, "qid"), 10, "l2").withColumn("score", F.round("score", 9) + 0.0)
+
+
+RERANK = """c AS (SELECT qid, doc_num FROM r),
+e AS (SELECT qid, doc_num, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM c JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = doc_num)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, round(score, 9) AS score FROM e QUALIFY rank <= 10"""
+
+
+@query(f"{knn_sql(COS2, 30)},\n{RERANK}")
+def search_rerank(spark, sf):
+    return shown(search.search_with_rerank(plain(spark, sf, "doc_num"), plain(spark, sf, "qid"), 10))
+
+
+@query("""WITH c AS (SELECT a.vec_id AS qid, b.vec_id AS doc_num FROM embeddings a JOIN embeddings b USING (label)),
+e AS (SELECT qid, doc_num, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM c JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = doc_num)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, round(score, 9) AS score FROM e QUALIFY rank <= 10""")
+def rerank_exact(spark, sf):
+    """Candidates: all of a query's label."""
+    e = table(spark, sf, "embeddings")
+    cand = e.select(F.col("vec_id").alias("qid"), "label").join(e.select(F.col("vec_id").alias("doc_num"), "label"), "label").select("qid", "doc_num")
+    return shown(search.rerank_exact(cand, plain(spark, sf, "doc_num"), plain(spark, sf, "qid"), 10))
+
+
+def multi_sql(score: str) -> str:
+    return f"""{lists_sql(20)},
+p AS (SELECT qid, head, doc_num, {score} AS score FROM l)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, head, doc_num) AS rank, head, doc_num, round(score, 12) AS score FROM p QUALIFY rank <= 10"""
+
+
+@query(multi_sql("score"))
+def search_multi(spark, sf):
+    return shown(search.search_multi(wide(spark, sf), asking(spark, sf), HEADS, 10), 12)
+
+
+@query(multi_sql(f"score * {BY_HEAD}"))
+def search_multi_weighted(spark, sf):
+    return shown(search.search_multi(wide(spark, sf), asking(spark, sf), HEADS, 10, WEIGHTS), 12)
+
+
+@query(f"""{V_SQL}, s AS (SELECT qid, doc_num, round(round(sum(list_cosine_similarity(qv, vec)), 9) / 3, 9) AS score FROM q, hv GROUP BY ALL)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, round(score, 9) AS score FROM s QUALIFY rank <= 100""")
+def gt_uniform(spark, sf):
+    return shown(search.ground_truth(wide(spark, sf), asking(spark, sf), HEADS))
+
+
+@query(f"""{knn_sql(COS2, 10).split(',' + chr(10) + 'r AS')[0]}, h AS (SELECT *, doc_num % 3 AS shard FROM s QUALIFY row_number() OVER (PARTITION BY shard, qid ORDER BY score DESC, doc_num) <= 10),
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, score FROM h QUALIFY rank <= 10)
+{OUT}""")
+def scatter_gather(spark, sf):
+    """Three shards by id, each searched for itself; all rows are in one of them."""
+    docs, hits = plain(spark, sf, "doc_num"), None
+    for s in range(3):
+        one = search.knn(docs.where(F.col("doc_num") % 3 == s), plain(spark, sf, "qid"), 10).drop("rank").withColumn("shard", F.lit(s))
+        hits = one if hits is None else hits.unionByName(one)
+    return shown(shard.scatter_gather(hits, 10))
+
+
+@query()
+def knn_ivf(spark, sf):
+    """Approximate: rows only; a test holds its recall above 0.9."""
+    docs = plain(spark, sf, "doc_num")
+    c = ivf.centroids(docs, 16)
+    return shown(ivf.search(ivf.assigned(docs, c, 1, "doc_num"), c, plain(spark, sf, "qid"), 10, 8))
+
+
+# ---------------------------------------------------------------- fusion on its own
+
+
+@query(f"{lists_sql(50)}\nSELECT qid, head, doc_num, round(score, 9) AS score FROM n")
+def normalize_scores(spark, sf):
+    return shown(fusion.max_normalised(search.head_lists(wide(spark, sf), asking(spark, sf), HEADS, 50))).drop("rank")
+
+
+FAVOUR = "CASE head WHEN 'semantic' THEN 0.61803 ELSE 1 END"
+
+
+def raw_lists(spark, sf, m=20):
+    return search.head_lists(wide(spark, sf), asking(spark, sf), HEADS, m)
+
+
+@query(f"{lists_sql(20)},\n{fused_sql('1', None, 'l')}\n{OUT}")
+def fuse_scores(spark, sf):
+    return shown(fusion.fuse(raw_lists(spark, sf), F.lit(1.0)))
+
+
+@query(f"{lists_sql(20)},\n{fused_sql(FAVOUR, None, 'l')}\n{OUT}")
+def weighted_fuse(spark, sf):
+    return shown(fusion.weighted_fuse(raw_lists(spark, sf), {"semantic": 0.61803}))
+
+
+def rrf_sql(c: int) -> str:
+    return f"{lists_sql(20)},\nx AS (SELECT qid, doc_num, 1.0::DOUBLE / (rank + {c}) AS score FROM l),\n{fused_sql('1', 10, 'x')}\n{OUT}"
+
+
+@query(rrf_sql(0))
+def rrf(spark, sf):
+    return shown(fusion.reciprocal_rank_fusion(raw_lists(spark, sf), 10))
+
+
+@query(rrf_sql(60))
+def rrf_k60(spark, sf):
+    return shown(fusion.reciprocal_rank_fusion(raw_lists(spark, sf), 10, 60))
+
+
+# ---------------------------------------------------------------- vector expressions
+
+
+@query("SELECT vec_id AS doc_num, round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS dot, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS cosine, round(list_distance(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS l2, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def vector_measures(spark, sf):
+    a, b = F.col("semantic"), F.col("temporal")
+    return wide(spark, sf).select("doc_num", F.round(V.dot(a, b), 6).alias("dot"), F.round(V.cosine(a, b), 6).alias("cosine"), F.round(V.euclidean(a, b), 6).alias("l2"), F.round(V.norm(a), 6).alias("norm"))
+
+
+@query("SELECT vec_id AS doc_num, i - 1 AS i, round((embedding::DOUBLE[])[i] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x FROM embeddings, range(1, 65) t(i)")
+def normalise_vectors(spark, sf):
+    unit = plain(spark, sf, "doc_num").select("doc_num", F.posexplode(V.normalised(F.col("vec"))).alias("i", "x"))
+    return unit.select("doc_num", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("SELECT vec_id AS doc_num, i, round(list_dot_product(list_transform(range(64), lambda j: cos(i + j)), embedding::DOUBLE[]), 6) AS x FROM embeddings, range(3) t(i)")
+def project_batch(spark, sf):
+    out = plain(spark, sf, "doc_num").select("doc_num", F.posexplode(V.project(F.col("vec"), GATE[0])).alias("i", "x"))
+    return out.select("doc_num", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("SELECT vec_id AS doc_num, i, round(list_dot_product(list_transform(range(64), lambda j: cos(i + 2 * j)), embedding::DOUBLE[]), 6) AS x FROM embeddings, range(64) t(i)")
+def reproject_vectors(spark, sf):
+    import numpy as np
+
+    w = np.cos(np.arange(64)[:, None] + 2.0 * np.arange(64))
+    out = learn.reproject(plain(spark, sf, "doc_num"), w).select("doc_num", F.posexplode("vec").alias("i", "x"))
+    return out.select("doc_num", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query(f"{V_SQL}\nSELECT doc_num, round(-ln(exp(list_dot_product(semantic, temporal) / 0.07) / (exp(list_dot_product(semantic, temporal) / 0.07) + exp(list_dot_product(semantic, structural) / 0.07))), 6) + 0.0 AS loss FROM v")
+def infonce(spark, sf):
+    """Positive: the temporal head; negative: the structural one."""
+    return wide(spark, sf).select("doc_num", (F.round(V.info_nce(F.col("semantic"), F.col("temporal"), F.array("structural")), 6) + 0.0).alias("loss"))
+
+
+@query("""SELECT event_id, CASE WHEN len(p) > 0 AND len(list_filter(p, lambda x: try_cast(x AS DOUBLE) IS NULL)) = 0 THEN round(list_sum(list_transform(p, lambda x: try_cast(x AS DOUBLE))), 6) END AS total
+FROM (SELECT event_id, list_filter(list_transform(string_split(concat(value, ', ', user_id, ',', CASE WHEN event_type = 'error' THEN event_type ELSE '' END), ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM events)""")
+def parse_vectors(spark, sf):
+    """Text vectors "[value, user, ]"; those of errors hold a bad part and are rejected whole."""
+    text = F.concat(F.lit("["), F.col("value").cast("string"), F.lit(", "), F.col("user_id").cast("string"), F.lit(","), F.when(F.col("event_type") == "error", F.col("event_type")).otherwise(""), F.lit("]"))
+    return table(spark, sf, "events").select("event_id", F.round(F.aggregate(V.parse_vector(text), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query(f"{V_SQL}\nSELECT doc_num, len(list_concat(semantic, temporal, structural))::BIGINT AS dim, round(list_sum(list_transform(list_concat(semantic, temporal, structural), lambda x, i: x * i)), 6) AS mark FROM v")
+def concat_heads(spark, sf):
+    joined = F.concat(*[F.coalesce(V.doubles(F.col(h)), F.array().cast("array<double>")) for h in HEADS])
+    mark = F.aggregate(F.transform(F.col("c"), lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return wide(spark, sf).select("doc_num", joined.alias("c")).select("doc_num", F.size("c").cast("bigint").alias("dim"), F.round(mark, 6).alias("mark"))
+
+
+@query(attend_sql("1.0 / 3").replace("list_reverse(embedding)::DOUBLE[]", "list_transform(list_reverse(embedding)::DOUBLE[], lambda x: -x + 0.1)"))
+def conflicting_head(spark, sf):
+    """The temporal head contradicts the others."""
+    return shown(fusion.attend(wide(spark, sf).withColumn("temporal", V.conflicting(F.col("temporal"), 0.1)), asking(spark, sf), HEADS))
+
+
+@query()
+def corrupted_head(spark, sf):
+    """Noise on a fifth of the temporal head's entries (seeded by hash: no SQL twin)."""
+    return shown(fusion.attend(wide(spark, sf).withColumn("temporal", V.noisy(F.col("temporal"), 0.5, F.col("doc_num"), 0.2)), asking(spark, sf), HEADS))
+
+
+# ---------------------------------------------------------------- keyword search
+
+STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def tokens_sql(name: str, source: str, key: str, stop: bool = True) -> str:
+    trimmed = r"lower(regexp_replace(regexp_replace(w, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', ''))"
+    where = "WHERE term <> ''" + (f" AND term NOT IN ({STOPS})" if stop else "")
+    return rf"""{name} AS (SELECT id AS {key}, pos, term FROM (SELECT id, pos, {trimmed} AS term FROM (SELECT id, unnest(p) AS w, unnest(range(len(p))) AS pos FROM (SELECT {'doc_id' if source == 'documents' else 'item_id'} AS id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS p FROM {source} WHERE text IS NOT NULL))) {where})"""
+
+
+BM25 = r"""dl AS (SELECT doc_num, count(*) AS dl FROM t GROUP BY doc_num),
+st AS (SELECT count(*) AS nd, avg(dl) AS mean FROM dl),
+po AS (SELECT term, doc_num, count(*) AS tf FROM t WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+sc AS (SELECT qid, doc_num, sum(weight * ln((nd - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS score FROM po JOIN a USING (term) JOIN df USING (term) JOIN dl USING (doc_num), st GROUP BY ALL)"""
+ASKED = "a AS (SELECT qid, term, count(*) AS weight FROM qt GROUP BY ALL)"
+TOK = f"WITH {tokens_sql('t', 'documents', 'doc_num')},\n{tokens_sql('qt', 'benchmark', 'qid')},\n"
+RANK10 = "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, score FROM x QUALIFY rank <= 10"
+PHRASES = f"""{tokens_sql('qw', 'benchmark', 'qid', False)},
+qn AS (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY pos) - 1 AS i FROM qw),
+ph AS (SELECT qid, i // 3 AS phrase, i % 3 AS "off", term FROM qn),
+nd AS (SELECT qid, phrase, count(*) AS need FROM ph GROUP BY ALL),
+mt AS (SELECT DISTINCT qid, phrase, doc_num FROM (SELECT qid, phrase, doc_num, pos - "off" AS start, count(DISTINCT "off") AS got FROM t JOIN ph USING (term) GROUP BY ALL) JOIN nd USING (qid, phrase) WHERE got = need)"""
+
+
+def corpus_tokens(spark, sf, stem=False):
+    return bm25.tokens(table(spark, sf, "documents"), stem)
+
+
+def asked_tokens(spark, sf, stem=False):
+    return bm25.tokens(table(spark, sf, "benchmark"), stem, "item_id").withColumnRenamed("doc_num", "qid")
+
+
+def asked_phrases(spark, sf):
+    """(qid, phrase, off, term): each text cut into phrases of three words, stop words included."""
+    w = words_with_positions(table(spark, sf, "benchmark"), F.col("text"), F.col("item_id").alias("qid"))
+    i = F.row_number().over(Window.partitionBy("qid").orderBy("pos")) - 1
+    return w.select("qid", F.floor(i / 3).alias("phrase"), (i % 3).cast("bigint").alias("off"), "term")
+
+
+@query(f"{TOK}{ASKED},\n{BM25},\nx AS (SELECT qid, doc_num, round(score, 9) AS score FROM sc)\nSELECT qid, rank, doc_num, round(score, 9) AS score FROM ({RANK10})")
+def bm25_search(spark, sf):
+    return shown(bm25.search(corpus_tokens(spark, sf), asked_tokens(spark, sf)))
+
+
+@query()
+def bm25_search_stemmed(spark, sf):
+    """With the engine's stemmer, which SQL lacks."""
+    return shown(bm25.search(corpus_tokens(spark, sf, True), asked_tokens(spark, sf, True)))
+
+
+@query(f"""{TOK}{ASKED},\n{BM25},\n{PHRASES},
+x AS (SELECT qid, doc_num, round(coalesce(sc.score, 0) + coalesce(b.bonus, 0), 9) AS score FROM sc FULL JOIN (SELECT qid, doc_num, count(*) * 2.0::DOUBLE AS bonus FROM mt GROUP BY ALL) b USING (qid, doc_num))
+SELECT qid, rank, doc_num, round(score, 9) AS score FROM ({RANK10})""")
+def bm25_phrase_bonus(spark, sf):
+    return shown(bm25.search_with_phrases(corpus_tokens(spark, sf), asked_tokens(spark, sf), asked_phrases(spark, sf)))
+
+
+@query(f"""WITH {tokens_sql('t', 'documents', 'doc_num')},\n{PHRASES},
+a AS (SELECT qid, phrase, term, count(*) AS weight FROM ph GROUP BY ALL),
+{BM25.replace('SELECT qid, doc_num, sum', 'SELECT qid, phrase, doc_num, sum')},
+y AS (SELECT qid, phrase, doc_num, round(score, 9) AS score FROM sc SEMI JOIN mt USING (qid, phrase, doc_num))
+SELECT qid, phrase::BIGINT AS phrase, row_number() OVER (PARTITION BY qid, phrase ORDER BY score DESC, doc_num) AS rank, doc_num, round(score, 9) AS score FROM y QUALIFY rank <= 10""")
+def bm25_search_phrase(spark, sf):
+    return shown(bm25.search_phrase(corpus_tokens(spark, sf), asked_phrases(spark, sf)))
+
+
+@query(f"WITH {tokens_sql('t', 'documents', 'doc_num')} SELECT count(DISTINCT doc_num) AS docs, (SELECT count(*) FROM (SELECT DISTINCT term, doc_num FROM t)) AS postings, round(count(*)::DOUBLE / count(DISTINCT doc_num), 6) AS mean_length, count(DISTINCT term) AS terms FROM t")
+def bm25_index_stats(spark, sf):
+    return bm25.statistics(corpus_tokens(spark, sf))
+
+
+@query(f"WITH {tokens_sql('t', 'documents', 'doc_num')} SELECT term, doc_num, count(*) AS tf, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM t GROUP BY ALL")
+def bm25_postings(spark, sf):
+    return bm25.index(corpus_tokens(spark, sf)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
+
+
+@query(f"""{lists_sql(250)},\n{fused_sql('1.0 / 3', 50)},
+{tokens_sql('t', 'documents', 'doc_num')},\n{tokens_sql('qt', 'benchmark', 'qid')},\n{ASKED},\n{BM25},
+x AS (SELECT qid, doc_num, round(score, 9) AS score FROM sc),
+sp AS ({RANK10.replace('<= 10', '<= 50')}),
+u AS (SELECT qid, doc_num, 1.0::DOUBLE / rank AS score FROM r UNION ALL SELECT qid, doc_num, 1.0::DOUBLE / rank FROM sp),
+z AS (SELECT qid, doc_num, round(sum(score), 9) AS score FROM u GROUP BY ALL)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, round(score, 9) AS score FROM z QUALIFY rank <= 10""")
+def attend_hybrid(spark, sf):
+    """Query i has vector i and benchmark text i; those without a text are dense alone."""
+    dense = fusion.attend(wide(spark, sf), asking(spark, sf), HEADS, 50)
+    return shown(fusion.attend_hybrid(dense, bm25.search(corpus_tokens(spark, sf), asked_tokens(spark, sf), 50)))
+
+
+# ---------------------------------------------------------------- store
+
+
+def event_log(spark, sf):
+    """Events as a log: key user, op by kind (error deletes, click updates)."""
+    e = table(spark, sf, "events")
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "click", "update").otherwise("insert")
+    return store.log_rows(e, F.col("event_id"), op, F.col("user_id"), F.unix_micros(F.col("ts").cast("timestamp")), F.col("props"))
+
+
+@query("SELECT user_id::VARCHAR AS key, max(event_id) AS seq, arg_max(props, event_id) AS payload FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def latest_live_records(spark, sf):
+    return store.latest(event_log(spark, sf)).select("key", "seq", "payload")
+
+
+@query("WITH b AS (SELECT min(event_id) AS bad FROM events WHERE event_id > (SELECT max(event_id) FROM events) // 2 AND event_type = 'purchase') SELECT event_id AS seq, user_id::VARCHAR AS key, props AS payload FROM events, b WHERE bad IS NULL OR event_id < bad")
+def wal_replay(spark, sf):
+    """A log damaged at the first purchase of its second half: what stands before is replayed."""
+    log = event_log(spark, sf)
+    half = table(spark, sf, "events").agg((F.max("event_id") / 2).cast("bigint").alias("_h"))
+    kinds = table(spark, sf, "events").select(F.col("event_id").alias("seq"), "event_type")
+    hurt = log.join(kinds, "seq").crossJoin(F.broadcast(half)).withColumn("crc", F.when((F.col("seq") > F.col("_h")) & (F.col("event_type") == "purchase"), F.col("crc") + 1).otherwise(F.col("crc")))
+    return store.replay(hurt).select("seq", "key", "payload")
+
+
+@query("""WITH f AS (SELECT user_id::VARCHAR AS key, event_id AS value, date_diff('second', TIMESTAMP '1970-01-01', ts::TIMESTAMP) // 3600 AS ts, event_type = 'error' AS deleted, event_id % 8 AS file FROM events),
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, file, value DESC) = 1) SELECT key, value, ts FROM l WHERE NOT deleted""")
+def compact_files(spark, sf):
+    """Events as eight files of hourly stamps: later stamps win, then the earlier file."""
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("value"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("ts"), (F.col("event_type") == "error").alias("deleted"), (F.col("event_id") % 8).alias("file"))
+    one = e.groupBy("key", "ts", "file").agg(F.max_by(F.struct("value", "deleted"), "value").alias("r")).select("key", "ts", "file", "r.*")
+    return store.compact(one)[0].select("key", "value", "ts")
+
+
+@query("SELECT user_id::VARCHAR AS key, event_id AS seq FROM events WHERE user_id::VARCHAR >= '2' AND user_id::VARCHAR < '5'")
+def sst_range(spark, sf):
+    return store.scan_range(event_log(spark, sf), "2", "5").select("key", "seq")
+
+
+@query("SELECT id, row_number() OVER (ORDER BY o, id) AS doc_num FROM (SELECT user_id::VARCHAR AS id, min(event_id) AS o FROM events GROUP BY user_id)")
+def id_numbers(spark, sf):
+    return store.with_numbers(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq")))
+
+
+@query("""SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_rates(spark, sf):
+    return ingest.rates(table(spark, sf, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH p AS (SELECT s, v, ('0x' || substr(md5('shard:' || s || ':vnode:' || v), 1, 15))::BIGINT AS point FROM range(3) a(s), range(100) b(v)),
+k AS (SELECT vec_id AS doc_num, ('0x' || substr(md5(vec_id::VARCHAR), 1, 15))::BIGINT AS place FROM embeddings)
+SELECT doc_num, coalesce((SELECT arg_min(s, point) FROM p WHERE point >= place), (SELECT arg_min(s, point) FROM p)) AS shard FROM k""")
+def shard_for_key(spark, sf):
+    return shard.route(plain(spark, sf, "doc_num"), shard.ring(spark, [0, 1, 2]), "doc_num")
+
+
+@query("SELECT label AS shard, count(*) AS replicas FROM (SELECT label, embedding[1] > 0 AS healthy FROM embeddings) WHERE healthy GROUP BY label")
+def healthy_replicas(spark, sf):
+    r = table(spark, sf, "embeddings").select(F.col("label").alias("shard"), (F.col("embedding")[0] > 0).alias("healthy"))
+    return shard.healthy(r).groupBy("shard").agg(F.count("*").alias("replicas"))
+
+
+@query("SELECT label AS collection, 3::BIGINT AS heads, (3 * count(*))::BIGINT AS vectors FROM embeddings GROUP BY label")
+def engine_stats(spark, sf):
+    """Collections by label: heads and vectors of each."""
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_num"), F.col("label").alias("collection"))
+    long = wide(spark, sf).select("doc_num", F.explode(F.array(*[F.struct(F.lit(h).alias("head"), F.col(h).alias("vec")) for h in HEADS])).alias("x")).select("doc_num", "x.*")
+    return long.join(labels, "doc_num").groupBy("collection").agg(F.countDistinct("head").alias("heads"), F.count("vec").alias("vectors"))
+
+
+# ---------------------------------------------------------------- measures
+
+
+def by_label(spark, sf):
+    """(qid, doc_num, grade): other vectors of the same label, graded 2 within ten ids."""
+    e = table(spark, sf, "embeddings")
+    pairs = e.select(F.col("vec_id").alias("qid"), "label").join(e.select(F.col("vec_id").alias("doc_num"), "label"), "label").where("qid <> doc_num")
+    return pairs.select("qid", "doc_num", F.when(F.abs(F.col("qid") - F.col("doc_num")) <= 10, 2).otherwise(1).alias("grade"))
+
+
+@query(f"""{knn_sql(COS2)},
+g AS (SELECT a.vec_id AS qid, b.vec_id AS doc_num, CASE WHEN abs(a.vec_id - b.vec_id) <= 10 THEN 2 ELSE 1 END AS grade FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id <> b.vec_id),
+i AS (SELECT qid, count(*) AS n, sum(CASE WHEN i <= 10 THEN 1 / log2(i + 1) END) AS idcg, sum(CASE WHEN i <= 10 THEN (2 ** grade - 1) / log2(i + 1) END) AS ig FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_num) AS i FROM g) GROUP BY qid),
+p AS (SELECT qid, count(grade) AS hits, min(CASE WHEN grade > 0 THEN rank END) AS first, sum(CASE WHEN grade > 0 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum((2 ** coalesce(grade, 0) - 1) / log2(rank + 1)) AS gd FROM r LEFT JOIN g USING (qid, doc_num) GROUP BY qid)
+SELECT qid, round(hits / n::DOUBLE, 9) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 9) AS mrr, round(least(1, dcg / idcg), 9) AS ndcg, round(least(1, gd / ig), 9) AS ndcg_graded, round(hits / 10::DOUBLE, 9) AS precision FROM i JOIN p USING (qid)""")
+def ranking_quality(spark, sf):
+    """Recall, MRR, both nDCG and precision of each query's ten nearest."""
+    found = search.knn(plain(spark, sf, "doc_num"), plain(spark, sf, "qid"), 10)
+    return metrics.quality(found, by_label(spark, sf), 10)
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, " + ", ".join(f"round(quantile_cont(value, {p}), 6) AS {n}" for p, n in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"), (0.999, "p999"))) + " FROM events GROUP BY event_type")
+def latency_summary(spark, sf):
+    return metrics.latency_summary(table(spark, sf, "events"), "value", "event_type")
+
+
+@query("SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r = floor(0.95 * (n - 1) + 0.5)")
+def latency_nearest_rank(spark, sf):
+    return metrics.nearest_rank(table(spark, sf, "events"), "value", 0.95, "event_type")
+
+
+@query(f"""{lists_sql(10)} SELECT round(avg(coalesce(c, 0)), 6) AS consensus FROM q LEFT JOIN (SELECT qid, count(*) AS c FROM l a JOIN l b USING (qid, doc_num) WHERE a.head = 'semantic' AND b.head = 'temporal' GROUP BY qid) USING (qid)""")
+def consensus_accuracy(spark, sf):
+    lists = raw_lists(spark, sf, 10)
+    return metrics.consensus(lists.where("head = 'semantic'"), lists.where("head = 'temporal'"), 10)
+
+
+POINTS = "WITH p AS (SELECT label, vec_id, rank() OVER (PARTITION BY label ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings), c AS (SELECT label, i::DOUBLE / n AS recall, 10000.0::DOUBLE / i AS qps FROM p)"
+
+
+@query(f"""{POINTS}, w AS (SELECT *, lead(recall) OVER (PARTITION BY label ORDER BY recall, qps) AS r2, lead(qps) OVER (PARTITION BY label ORDER BY recall, qps) AS q2 FROM c)
+SELECT label, round(max(qps + (q2 - qps) * (0.9 - recall) / (r2 - recall)), 6) AS qps FROM w WHERE recall <= 0.9 AND r2 >= 0.9 AND r2 > recall GROUP BY label""")
+def pareto_qps(spark, sf):
+    """Curves by label: recall rises with the place, throughput falls."""
+    w = Window.partitionBy("label")
+    e = table(spark, sf, "embeddings").select("label", F.row_number().over(w.orderBy("vec_id")).alias("i"), F.count("*").over(w).alias("n"))
+    return metrics.pareto_qps(e.select("label", (F.col("i") / F.col("n")).alias("recall"), (10000.0 / F.col("i")).alias("qps")), 0.9, "label")
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY event_type")
+def mean_and_deviation(spark, sf):
+    m = metrics.moments(table(spark, sf, "events"), "value", "event_type")
+    return m.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round(F.sqrt("var"), 6).alias("std"))
+
+
+WELCH = """WITH m AS (SELECT event_type, count(value) AS n, avg(value) AS x, var_samp(value) AS v FROM events GROUP BY event_type)
+SELECT a.event_type AS a, b.event_type AS b, round((a.x - b.x) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round((a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)), 3) AS df, round(abs(a.x - b.x) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 6) AS cohen_d FROM m a JOIN m b ON a.event_type < b.event_type"""
+
+
+@query(WELCH)
+def welch_tests(spark, sf):
+    return metrics.welch(table(spark, sf, "events"), "value", "event_type")
+
+
+@query("""WITH t AS (SELECT user_id, exp(-avg(value) / 10) AS p FROM events GROUP BY user_id), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, user_id) AS r FROM t),
+q AS (SELECT user_id, round(p, 9) AS p, round(min(least(1, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 9) AS q FROM r) SELECT user_id, p, q, q <= 0.05 AS rejected FROM q""")
+def benjamini_hochberg(spark, sf):
+    """A made-up p-value of each user."""
+    t = table(spark, sf, "events").groupBy("user_id").agg(F.exp(-F.avg("value") / 10).alias("p"))
+    return metrics.benjamini_hochberg(t, "p", "user_id").withColumn("p", F.round("p", 9))
+
+
+@query(f"""{knn_sql(COS2)}, c AS (SELECT coalesce(n, 0)::DOUBLE AS c FROM embeddings LEFT JOIN (SELECT doc_num, count(*) AS n FROM r GROUP BY doc_num) ON vec_id = doc_num), m AS (SELECT avg(c) AS m, stddev_samp(c) AS s FROM c)
+SELECT round(avg(((c - m) / s) ** 3), 6) AS skewness, count(*) FILTER (c >= 2 * m) AS hubs, count(*) FILTER (c < 0.5) AS antihubs FROM c, m""")
+def hubness(spark, sf):
+    return metrics.hubness(search.knn(plain(spark, sf, "doc_num"), plain(spark, sf, "qid"), 10), plain(spark, sf, "doc_num"))
+
+
+def distances(spark, sf):
+    """The ten nearest others of each vector, with exact distances."""
+    near = search.knn(plain(spark, sf, "doc_num"), plain(spark, sf, "qid"), 11, "l2").where("qid <> doc_num")
+    return near.withColumn("distance", -F.col("score"))
+
+
+@query(f"""{knn_sql('-list_distance(x, y)', 11)}, n AS (SELECT qid, -score AS d, max(-score) OVER (PARTITION BY qid) AS far FROM r WHERE qid <> doc_num),
+g AS (SELECT qid, count(*) AS k, sum(CASE WHEN d > 0 THEN ln(d / far) ELSE 0 END) AS s FROM n GROUP BY qid) SELECT qid, round(CASE WHEN s < 0 THEN -(k - 1) / s ELSE k END, 6) AS lid FROM g""")
+def lid(spark, sf):
+    return metrics.local_dimension(distances(spark, sf))
+
+
+@query(f"""{knn_sql(COS2, 2)}, g AS (SELECT qid, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) AS gap FROM r GROUP BY qid) SELECT qid, round(gap, 9) AS gap, gap > 0.05 AS unambiguous FROM g""")
+def contrast_unambiguous(spark, sf):
+    return metrics.contrast(search.knn(plain(spark, sf, "doc_num"), plain(spark, sf, "qid"), 2))
+
+
+@query("SELECT event_id, round(greatest(value - 1.5, 0.001), 6) AS net FROM events")
+def overhead_removed(spark, sf):
+    return metrics.overhead_removed(table(spark, sf, "events"), "value", 1.5).select("event_id", F.round("net", 6).alias("net"))
+
+
+@query("SELECT concurrency, round(qps, 6) AS qps FROM (SELECT user_id AS concurrency, avg(value) AS qps FROM events GROUP BY user_id) ORDER BY qps DESC, concurrency LIMIT 1")
+def saturation(spark, sf):
+    """Throughput samples by concurrency level: the level of the best mean (ties: the lower)."""
+    t = table(spark, sf, "events").groupBy(F.col("user_id").alias("concurrency")).agg(F.avg("value").alias("qps"))
+    best = t.agg(F.max_by(F.struct("concurrency", "qps"), F.struct("qps", -F.col("concurrency"))).alias("r"))
+    return best.select("r.concurrency", F.round("r.qps", 6).alias("qps"))

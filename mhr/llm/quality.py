@@ -22,6 +22,8 @@ from .common import BYTE, keyed_text, mix, text_chunks, words
 FIT_ROWS = 1500
 BUCKETS, WIDTH, WINDOW, HIDDEN, THRESHOLD = 1 << 16, 32, 2, 24, 0.5
 PRIOR = 12.0
+#: Tokens worked on at a time.
+BLOCK = 1 << 17
 
 _LEXICAL = np.zeros(256, bool)
 _LEXICAL[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -64,10 +66,12 @@ def word_vectors(b: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     index, out = index_vectors(), np.zeros((BUCKETS, WIDTH), np.float32)
     doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
     for d in range(1, WINDOW + 1):
-        ok = doc[d:] == doc[:-d]
-        left, right = b[:-d][ok], b[d:][ok]
-        for j in range(WIDTH):
-            out[:, j] += np.bincount(left, index[right, j] / d, BUCKETS) + np.bincount(right, index[left, j] / d, BUCKETS)
+        for lo in range(0, len(b) - d, BLOCK):  # a block of pairs at a time, to bound memory
+            hi = min(len(b) - d, lo + BLOCK)
+            ok = doc[lo + d : hi + d] == doc[lo:hi]
+            left, right = b[lo:hi][ok], b[lo + d : hi + d][ok]
+            for j in range(WIDTH):
+                out[:, j] += np.bincount(left, index[right, j] / d, BUCKETS) + np.bincount(right, index[left, j] / d, BUCKETS)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.where(norm > 0, out / np.maximum(norm, 1e-9), 0).astype(np.float32)
 
@@ -75,9 +79,16 @@ def word_vectors(b: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 def pooled(vectors: np.ndarray, prior: np.ndarray, b: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Mean token vector of each text, with PRIOR tokens of the prior vector added, so that few words say little."""
     out = np.zeros((len(ptr) - 1, WIDTH), np.float32)
-    full = np.flatnonzero(np.diff(ptr) > 0)
-    if len(full):
-        out[full] = np.add.reduceat(vectors[b], ptr[full], axis=0)
+    lo, n = 0, len(ptr) - 1
+    while lo < n:  # as many texts as have about BLOCK tokens; a longer text by its counts
+        hi = max(lo + 1, int(np.searchsorted(ptr, ptr[lo] + BLOCK, "right")) - 1)
+        own = b[ptr[lo] : ptr[hi]]
+        if len(own) > BLOCK:
+            out[lo] = np.bincount(own, minlength=BUCKETS) @ vectors
+        elif len(own):
+            full = lo + np.flatnonzero(np.diff(ptr[lo : hi + 1]) > 0)
+            out[full] = np.add.reduceat(vectors[own], ptr[full] - ptr[lo], axis=0)
+        lo = hi
     return (out + PRIOR * prior) / (np.diff(ptr)[:, None] + PRIOR)
 
 
@@ -109,7 +120,8 @@ def fit(texts: list[str], good: np.ndarray, seed: int = 7) -> Model:
     vectors = word_vectors(b, ptr)
     y = good.astype(float)
     fine = np.repeat(y > 0, np.diff(ptr))
-    prior = vectors[b[fine]].mean(0) if fine.any() else np.zeros(WIDTH)
+    seen = np.bincount(b[fine], minlength=BUCKETS)
+    prior = seen @ vectors / seen.sum() if seen.any() else np.zeros(WIDTH)
     x = pooled(vectors, prior, b, ptr).astype(float)
     rng = np.random.RandomState(seed)
     held = rng.rand(len(y)) < 0.2
@@ -132,7 +144,7 @@ def fit(texts: list[str], good: np.ndarray, seed: int = 7) -> Model:
     if held.sum() > 20:
         logit, truth = m.logit(x[held]), y[held]
         loss = lambda k: np.logaddexp(0, np.where(truth > 0, -logit, logit) / k).mean()
-        m.temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
+        m.temperature = float(min(np.geomspace(0.05, 8, 81), key=loss))
     return m
 
 

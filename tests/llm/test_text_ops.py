@@ -132,12 +132,12 @@ def labelled(n, seed):
 
 
 def test_quality_held_out(spark):
-    rows = labelled(400, 2)
-    table = docs(spark, [(i, t) for i, t, _ in rows] + [(1000, None), (1001, ""), (None, rows[1][1])])
-    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:200]], "doc_id bigint, quality int")
+    rows = labelled(1200, 2)
+    table = docs(spark, [(i, t) for i, t, _ in rows] + [(5000, None), (5001, ""), (None, rows[1][1])])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:600]], "doc_id bigint, quality int")
     got = {x.doc_id: x for x in quality.quality_scores(table, labels).collect()}
-    right = sum(got[i].keep == (y == 1) for i, _, y in rows[200:])
-    assert right >= 190 and not got[1000].keep and not got[1001].keep and got[None].keep
+    right = sum(got[i].keep == (y == 1) for i, _, y in rows[600:])
+    assert right >= 570 and not got[5000].keep and not got[5001].keep and got[None].keep
     kept = quality.keep_good(table, labels)
     assert kept.columns == table.columns and kept.count() == sum(x.keep for x in got.values())
     assert quality.quality_scores(table, labels.where("quality = 1")).where("keep").count() == len(rows) + 3

@@ -18,6 +18,8 @@ from mhr.functions.vectors import cosine
 from .search import matrix, ranked
 
 SAMPLE, STEPS = 20_000, 15
+#: Of vectors that hardly cluster, many cells must be probed for a recall of 0.9.
+CELLS, PROBES = 16, 11
 
 
 def centroids(vectors: DataFrame, cells: int, vec: str = "vec", sample: int = SAMPLE, seed: int = 3) -> np.ndarray:

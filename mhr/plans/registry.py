@@ -223,8 +223,8 @@ def scatter_gather(spark, sf):
 def knn_ivf(spark, sf):
     """Approximate: rows only; a test holds its recall above 0.9."""
     docs = plain(spark, sf, "doc_num")
-    c = ivf.centroids(docs, 16)
-    return shown(ivf.search(ivf.assigned(docs, c, 1, "doc_num"), c, plain(spark, sf, "qid"), 10, 8))
+    c = ivf.centroids(docs, ivf.CELLS)
+    return shown(ivf.search(ivf.assigned(docs, c, 1, "doc_num"), c, plain(spark, sf, "qid"), 10, ivf.PROBES))
 
 
 # ---------------------------------------------------------------- fusion on its own

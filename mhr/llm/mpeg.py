@@ -1,13 +1,16 @@
 """Operator 9: MPEG audio columns.  Resynchronises frame headers, parses tags and variable-bitrate tables, verifies
 checksums, and stores exact durations and the byte offset of every frame.
 
-`encode` writes small valid streams from a seed, damage included; it stands in for a media table and gives exact round trips.
+`encode` writes small valid streams from a seed, damage included, whose frames follow from the seed alone, as the SQL has them;
+they carry only the head of a text.  `encode_whole` carries every byte of it, in all layers, versions, modes, tables and tags,
+and `decode_whole` gives it back.  Both stand in for a media table.
 """
 
 from __future__ import annotations
 
+import random
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -170,7 +173,8 @@ def _vbr_table(data: bytes, at: int, h: Header, out: Audio) -> int | None:
 
 def parse(data: bytes | None) -> Audio:
     """All of one stream.  A frame counts if it is whole and stands right after another, or if a header of the same kind, a tag
-    or the end follows it; else the next sync word is sought, byte by byte."""
+    or the end follows it; else the next sync word is sought, byte by byte.  A header that reaches beyond the end is the cut
+    last frame only if no frame is found behind it."""
     out = Audio()
     data = data or b""
     at, end, tags, trim, rates = 0, len(data), {}, 0, set()
@@ -184,7 +188,7 @@ def parse(data: bytes | None) -> Audio:
         size = int.from_bytes(data[end - 20 : end - 16], "little") + 32 * (data[end - 9] >> 7)
         end = max(at, end - size)
     out.title, out.artist = tags.get("TIT2"), tags.get("TPE1")
-    same, first, chain = None, True, -1
+    same, first, chain, cut = None, True, -1, False
     while at < end:
         h = header_at(data, at)
         after = at + h.length if h else 0
@@ -205,15 +209,13 @@ def parse(data: bytes | None) -> Audio:
                     out.frames, out.samples = out.frames + 1, out.samples + h.samples
                     out.seek.append(at)
                     rates.add(h.bitrate)
-                at = chain = after
+                at, chain, cut = after, after, False
                 continue
-        if h and after > end and same == (h.version, h.layer, h.rate):
-            out.truncated = True
-            out.skipped_bytes += end - at
-            break
+        cut |= h is not None and after > end and same == (h.version, h.layer, h.rate)
         nxt = data.find(b"\xff", at + 1, end)
         nxt = end if nxt < 0 else nxt
         out.skipped_bytes, at = out.skipped_bytes + nxt - at, nxt
+    out.truncated = cut
     out.samples = max(0, out.samples - trim)
     out.vbr = out.vbr or len(rates) > 1
     if out.sample_rate:
@@ -262,12 +264,118 @@ def encode(seed: int, payload: bytes) -> bytes:
     return bytes(out)
 
 
-def synthetic_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media BINARY): a stream for each document with an id, its text as the payload."""
+@dataclass(frozen=True)
+class Kind:
+    """What `encode_whole` makes of a seed."""
+
+    version: str
+    layer: int
+    mono: bool
+    protected: bool
+    rate_index: int
+    table: str | None
+    tags: str
+    vbr: bool
+    stray: bool
+    bad: bool
+    cut: bool
+
+    @classmethod
+    def of(cls, seed: int) -> Kind:
+        digits, rest = [], seed
+        for base in (3, 4, 2, 4, 2, 6, 3, 2):
+            rest, d = divmod(rest, base)
+            digits.append(d)
+        version, layer, mono, table, protected, tags, rate, vbr = digits
+        layer = (3, 3, 2, 1)[layer]
+        return cls(
+            ("1", "2", "2.5")[version], layer, mono == 1, protected == 1, rate, (None, "Xing", "Info", "VBRI")[table] if layer == 3 else None, ("", "ID3v2.3", "ID3v2.4", "ID3v1", "APE", "ID3v2.4 APE ID3v1")[tags], vbr == 1,
+            seed % 7 == 0, protected == 1 and layer != 2 and seed % 5 == 0, seed % 11 == 0,
+        )
+
+
+def _masked(seed: int, payload: bytes) -> bytes:
+    """The payload under a seeded mask, its own inverse: bodies hold every byte value, 0xFF and false syncs among them."""
+    n = len(payload)
+    return (int.from_bytes(payload) ^ int.from_bytes(random.Random(seed).randbytes(n + -n % 4)[:n])).to_bytes(n)  # by whole words: a longer mask begins alike
+
+
+def _table_bytes(k: Kind, frames: int, side: int, size: int) -> bytes:
+    if k.table == "VBRI":
+        return bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, size, frames, 20, 3, 2, 1) + b"".join((i + 1).to_bytes(2) for i in range(20))
+    seek = bytes(i * 255 // 99 for i in range(100))
+    lame = b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3) if k.table == "Info" else b""
+    return bytes(side) + k.table.encode() + (7).to_bytes(4) + frames.to_bytes(4) + size.to_bytes(4) + seek + lame
+
+
+def encode_whole(seed: int, payload: bytes) -> bytes:
+    """A stream of the seed's `Kind` whose frame bodies carry every byte of `payload`, masked: as many frames as that takes.
+
+    The first frame holds the table, or silence; the last one's rest is zeros.  At least eight frames.  Before frame 5 a false
+    sync may stand, frame 3 may have a wrong checksum, and a last frame that carries nothing may be cut short.
+    """
+    k, left, frames, at = Kind.of(seed), _masked(seed, payload), [], 0
+    bits = {"1": 3, "2": 2, "2.5": 0}[k.version]
+    while len(frames) < 8 or at < len(left):
+        i = len(frames)
+        index = 12 if i == 0 else 5 + (i % 3 if k.vbr else 0)
+        b = bytes([0xFF, 0xE0 | bits << 3 | (4 - k.layer) << 1 | (not k.protected), index << 4 | k.rate_index << 2 | (i % 2) << 1, (3 if k.mono else 0) << 6])
+        h = header_at(b, 0)
+        body = bytearray(h.length - 4 - 2 * k.protected)
+        if i:
+            part = left[at : at + len(body)]
+            body[: len(part)] = part
+            at += len(part)
+        frames.append((b, h, body))
+    if k.cut:
+        b, h, body = frames[-1]
+        frames.append((b, h, bytearray(len(body))))
+    if k.table:
+        b, h, body = frames[0]
+        table = _table_bytes(k, len(frames) - 1, h.side, sum(len(f[2]) for f in frames))
+        skip = 2 * k.protected if k.table == "VBRI" else 0  # VBRI stands 32 bytes after the header, checksum or not
+        body[: len(table) - skip] = table[skip:]
+    out, title = bytearray(), f"doc {seed}"
+    if "ID3v2" in k.tags:
+        major, text = int(k.tags[6]), b"\x03" + title.encode()
+        tag = b"TIT2" + len(text).to_bytes(4) + b"\0\0" + text
+        out += b"ID3" + bytes([major, 0, 0, 0, 0, len(tag) >> 7, len(tag) & 0x7F]) + tag
+    for i, (b, h, body) in enumerate(frames):
+        f = b + bytes(body)
+        if k.protected:
+            if h.layer == 3:
+                crc = crc16(bytes(body[: h.side]), crc16(b[2:]))
+            else:
+                n = 4 * 32 * (1 if h.mono else 2)  # four bits of allocation for each subband and channel
+                crc = crc16(bytes(body[: n // 8]), crc16(b[2:]))
+            f = b + (crc ^ (k.bad and i == 3)).to_bytes(2) + bytes(body)
+        if i == 5 and k.stray:
+            out += b"\0" + b[:3]
+        out += f[: len(f) // 2] if k.cut and i == len(frames) - 1 else f
+    if "APE" in k.tags:
+        item = len(title).to_bytes(4, "little") + bytes(4) + b"Title\0" + title.encode()
+        foot = b"APETAGEX" + struct.pack("<III", 2000, len(item) + 32, 1)
+        out += foot + b"\0\0\0\xa0" + bytes(8) + item + foot + b"\0\0\0\x80" + bytes(8)
+    if "ID3v1" in k.tags:
+        out += b"TAG" + title.encode().ljust(30, b"\0") + bytes(95)
+    return bytes(out)
+
+
+def decode_whole(seed: int, data: bytes, seek: list[int]) -> bytes:
+    """The payload of `encode_whole`, from the bodies of the frames at `seek`, and zeros of the last frames behind it, masked too."""
+    bodies = []
+    for p in seek if Kind.of(seed).table else seek[1:]:
+        h = header_at(data, p)
+        bodies.append(data[p + 4 + 2 * h.protected : p + h.length])
+    return _masked(seed, b"".join(bodies))
+
+
+def synthetic_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder: Callable[[int, bytes], bytes] = encode) -> DataFrame:
+    """(doc_id, media BINARY): a stream for each document with an id, its text as the payload: cut by `encode`, whole by `encode_whole`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            media = [encode(i, (t or "").encode()) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            media = [encoder(i, (t or "").encode()) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     return keyed_text(docs, id_col, text_col).where("doc_id is not null").mapInArrow(run, "doc_id bigint, media binary")

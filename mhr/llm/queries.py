@@ -56,6 +56,13 @@ def op9_mpeg_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(as_text)
 
 
+def op9_mpeg_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_mpeg_columns, of streams that carry each text whole, in all layers, versions, modes, tables and tags."""
+    found = mpeg.mpeg_columns(mpeg.synthetic_media(table(spark, sf_dir, "documents"), encoder=mpeg.encode_whole))
+    as_text = {c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("toc", "seek")}
+    return found.withColumns(as_text)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_classifier,
         op8_best_fit_packing,
         op9_mpeg_columns,
+        op9_mpeg_whole_texts,
         op10_source_mixing,
     )
 }

@@ -64,3 +64,36 @@ def test_mpeg_odd_rows(spark):
     assert len(got) == len(rows) and by[1].frames == by[2].frames == by[5].frames == 0 and by[1].duration_us is None
     assert by[None].frames > 0 and by[6].frames > 1000 and sum(x.doc_id == 4 for x in got) == 2
     assert mpeg.mpeg_columns(spark.createDataFrame([], "doc_id bigint, media binary")).count() == 0
+
+
+def test_mpeg_whole_texts(spark):
+    r, seen = random.Random(4), set()
+    for seed in range(1, 1500):
+        text = r.randbytes(r.choice([0, 1, 3_000, 20_000, 133_719 if seed % 100 == 0 else 9]))
+        k, data = mpeg.Kind.of(seed), mpeg.encode_whole(seed, text)
+        a = mpeg.parse(data)
+        got = mpeg.decode_whole(seed, data, a.seek)
+        assert got[: len(text)] == text and len(got) >= len(text)
+        assert (a.version, a.layer, a.channels, a.table) == (k.version, k.layer, 2 - k.mono, k.table) and a.truncated == k.cut
+        assert a.title == (f"doc {seed}" if "ID3" in k.tags else None) and a.crc_bad == k.bad and (a.crc_unread > 0) == (k.protected and k.layer == 2)
+        per = mpeg.header_at(data, a.seek[0]).samples
+        assert a.samples == a.frames * per - (1576 if k.table == "Info" else 0) and (k.table is None or a.declared_frames == a.frames + k.cut)
+        last = mpeg.header_at(data, a.seek[-1])
+        assert k.cut or a.skipped_bytes == 4 * k.stray
+        assert not k.cut or a.skipped_bytes == 4 * k.stray + last.length // 2
+        seen |= {k.version, k.layer, k.mono, k.table, k.tags, k.stray and b"\xff" in data[a.seek[4] + 4 :]}
+    assert seen >= {"1", "2", "2.5", 1, 2, 3, True, False, None, "Xing", "Info", "VBRI", "ID3v2.3", "ID3v2.4", "ID3v1", "APE"}
+    rows = [(3, "long \u00e9 " * 20_000), (4, None), (5, "x")]
+    media = mpeg.synthetic_media(spark.createDataFrame(rows, "doc_id bigint, text string"), encoder=mpeg.encode_whole)
+    for x in media.collect():
+        text = (dict(rows)[x.doc_id] or "").encode()
+        assert mpeg.decode_whole(x.doc_id, bytes(x.media), mpeg.parse(bytes(x.media)).seek)[: len(text)] == text
+
+
+def test_mpeg_false_sync_near_the_end():
+    data = mpeg.encode(2, b"x")
+    a = mpeg.parse(data)
+    p, q = a.seek[-2:]
+    false = data[p : p + 2] + b"\xe0" + data[p + 3 : p + 4]  # a header that reaches beyond the end
+    b = mpeg.parse(data[:q] + b"\0" + false + data[q:])
+    assert b.frames == a.frames and not b.truncated and b.skipped_bytes == 5

@@ -32,7 +32,7 @@ def private_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen so that sources have their target weights."""
+    """Documents chosen so that no source exceeds its target weight of all tokens; one that has less is kept whole."""
     return mixing.mix_rows(docs)
 
 

@@ -1,6 +1,7 @@
 """Operator 10: mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by source and exact token length.  Each source gets weight * total tokens as its budget.  A seeded
+Documents are counted by source and exact token length.  Each source gets weight * total tokens as its budget; one that has
+less gives all it has, and the shortfall is reported, not made up by others nor taken from them.  A seeded
 share of every length is taken first, leaving a margin; bounded-knapsack dynamic programming over the counts left then
 fills the remaining budget exactly, or as nearly below it as the lengths allow.  Of each (source, length) the documents of
 least seeded hash go in.  Only counts pass through Python, one source at a time; texts are never shuffled.
@@ -19,6 +20,8 @@ from .common import n_words
 
 #: Weight of a source: its tokens to this power, unless weights are given.
 ALPHA, SEED = 0.7, 17
+#: Token budget of the mixture as a share of all tokens, unless a number of tokens is given.
+BUDGET = 1.0
 #: Budget left to the dynamic programme, in largest lengths; thresholds that are broadcast, at most.
 MARGIN, BROADCAST = 4, 1_000_000
 
@@ -85,7 +88,7 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("len")
     take = take_counts(pdf["len"].to_numpy(), pdf["n"].to_numpy(), int(pdf["budget"].iloc[0]))
-    return pd.DataFrame({"src": pdf["src"], "len": pdf["len"], "take": take})
+    return pd.DataFrame({"src": pdf["src"], "len": pdf["len"], "take": take, "budget": pdf["budget"], "shortfall": pdf["shortfall"]})
 
 
 def _key(text: Column, doc_id: Column, seed: int) -> Column:
@@ -93,16 +96,18 @@ def _key(text: Column, doc_id: Column, seed: int) -> Column:
 
 
 def budgets(counts: DataFrame, weights: Mapping[str, float] | None, total_tokens: int | None, alpha: float) -> DataFrame:
-    """(src, budget): weight * total tokens, total being the largest that no source falls short of, unless given."""
+    """(src, tokens, weight, budget, shortfall): budget is weight * total tokens, total being BUDGET of all tokens unless given;
+    shortfall is what the source lacks of it."""
     per = counts.groupBy("src").agg(F.sum(F.col("len") * F.col("n")).alias("tokens"))
     if weights is None:
         raw = F.pow(F.col("tokens").cast("double"), F.lit(alpha))
     else:
         raw = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]), F.coalesce("src", F.lit(""))), F.lit(0.0)) if weights else F.lit(0.0)
     every = Window.partitionBy()  # one row a source
-    per = per.withColumn("raw", raw).withColumn("w", F.try_divide("raw", F.sum("raw").over(every)))
-    total = F.lit(total_tokens) if total_tokens is not None else F.min(F.when((F.col("w") > 0) & (F.col("tokens") > 0), F.col("tokens") / F.col("w"))).over(every)
-    return per.select("src", F.coalesce(F.floor(F.col("w") * total + F.lit(1e-6)), F.lit(0)).cast("bigint").alias("budget"))
+    per = per.withColumn("raw", raw).withColumn("weight", F.coalesce(F.try_divide("raw", F.sum("raw").over(every)), F.lit(0.0)))
+    total = F.lit(total_tokens) if total_tokens is not None else F.lit(BUDGET) * F.sum("tokens").over(every)
+    per = per.withColumn("budget", F.coalesce(F.floor(F.col("weight") * total + F.lit(1e-6)), F.lit(0)).cast("bigint"))
+    return per.select("src", "tokens", "weight", "budget", F.greatest(F.lit(0), F.col("budget") - F.col("tokens")).cast("bigint").alias("shortfall"))
 
 
 def _plan(docs: DataFrame, weights, total_tokens, alpha: float, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -110,32 +115,35 @@ def _plan(docs: DataFrame, weights, total_tokens, alpha: float, seed: int) -> tu
     flat = docs.withColumn("len", n_words(F.col("text"))).withColumn("key", _key(F.col("text"), F.col("doc_id"), seed))
     light = flat.where("text is not null").select("src", "len", "key").distinct()
     counts = light.groupBy("src", "len").agg(F.count("*").alias("n"))
-    plan = counts.join(budgets(counts, weights, total_tokens, alpha).withColumnRenamed("src", "of"), F.col("src").eqNullSafe(F.col("of"))).drop("of")
-    taken = plan.groupBy("src").applyInPandas(_fit, "src string, len bigint, take bigint").where("take > 0")
+    plan = counts.join(budgets(counts, weights, total_tokens, alpha).select(F.col("src").alias("of"), "budget", "shortfall"), F.col("src").eqNullSafe(F.col("of"))).drop("of")
+    taken = plan.groupBy("src").applyInPandas(_fit, "src string, len bigint, take bigint, budget bigint, shortfall bigint").where("take > 0")
     ranked = light.withColumn("rank", F.row_number().over(Window.partitionBy("src", "len").orderBy("key")))
-    return flat, ranked.join(taken.select(F.col("src").alias("s"), F.col("len").alias("l"), "take"), F.col("src").eqNullSafe(F.col("s")) & (F.col("len") == F.col("l"))).where("rank <= take").groupBy("src", "len").agg(F.max("key").alias("upto"))
+    return flat, ranked.join(taken.select(F.col("src").alias("s"), F.col("len").alias("l"), "take", "budget", "shortfall"), F.col("src").eqNullSafe(F.col("s")) & (F.col("len") == F.col("l"))).where("rank <= take").groupBy("src", "len").agg(F.max("key").alias("upto"), F.first("budget").alias("budget"), F.first("shortfall").alias("shortfall"))
 
 
 def _chosen(flat: DataFrame, limits: DataFrame) -> DataFrame:
     from .common import stored
 
-    limits = stored(limits.select(F.col("src").alias("s"), F.col("len").alias("l"), "upto"), "limits")
+    limits = stored(limits.select(F.col("src").alias("s"), F.col("len").alias("l"), "upto", "budget", "shortfall"), "limits")
     side = F.broadcast(limits) if limits.count() <= BROADCAST else limits
     return flat.where("text is not null").join(side, F.col("src").eqNullSafe(F.col("s")) & (F.col("len") == F.col("l"))).where("key <= upto")
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, alpha: float = ALPHA, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, n_tokens) of the documents that make up the mixture.
+    """(doc_id, source, n_tokens, budget, shortfall) of the documents that make up the mixture; the last two are of the source.
+
+    Without weights a source weighs its tokens to the power alpha; without a total the budget is BUDGET of all tokens.
 
     Tokens are words parted by white space.  Rows that repeat id, source and text are one document: counted once, returned as
     often as they come.  A null text is never chosen; an empty one has length 0, costs nothing and is chosen where its
     source has a budget plan.  A null source is a source of its own, named "" in `weights`; sources missing there have
-    weight 0.  A budget above what a source has takes all of it.  An empty table gives an empty result; other columns are
+    weight 0.  A budget above what a source has takes all of it, and
+    the rest is its shortfall.  An empty table gives an empty result; other columns are
     ignored.
     """
     flat = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("src"))
     flat, limits = _plan(flat, weights, total_tokens, alpha, seed)
-    return _chosen(flat, limits).select("doc_id", F.col("src").alias("source"), F.col("len").alias("n_tokens"))
+    return _chosen(flat, limits).select("doc_id", F.col("src").alias("source"), F.col("len").alias("n_tokens"), "budget", "shortfall")
 
 
 def mix_rows(docs: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:

@@ -92,3 +92,16 @@ def test_local_search_empties_bins():
         square = lambda bs: sum(sum(sizes[i] for i in b) ** 2 for b in bs)
         assert len(after) <= len(before) and square(after) >= square(before) and sorted(i for b in after for i in b) == list(range(60))
         assert all(sum(sizes[i] for i in b) <= 100 for b in after)
+
+
+def test_small_source_does_not_shrink_the_mixture(spark):
+    rows = [(100 * k + i, "w " * 10, f"s{k}") for k in range(20) for i in range(20)] + [(9000, "w", None)]
+    got = mixing.mix_sources(frame(spark, rows)).collect()
+    tokens = Counter()
+    for x in got:
+        tokens[x.source] += x.n_tokens
+    assert sum(tokens.values()) >= 0.94 * 4001 and tokens[None] == 1
+    raw = {s: t**0.7 for s, t in [(None, 1), *((f"s{k}", 200) for k in range(20))]}
+    want = {s: int(4001 * w / sum(raw.values()) + 1e-6) for s, w in raw.items()}
+    assert all(x.budget == want[x.source] and x.shortfall == max(0, want[x.source] - (200 if x.source else 1)) for x in got)
+    assert any(x.shortfall > 0 for x in got)

@@ -1,13 +1,14 @@
 """Operator 8: best-fit packing of documents into sequences of a token capacity, improved by swap-based local search.
 
 Documents longer than the capacity are cut into full sequences and a rest.  Pieces are spread over groups of bounded size by
-a seeded hash; each group is packed best-fit decreasing, then underfull bins exchange pieces (move, one for one, two for
-one) whenever that raises the sum of squared fills, until bins empty or no exchange is left.
+a seeded hash; each group is packed best-fit decreasing, then underfull bins exchange pieces (move of one or two, one for one,
+two for one) whenever that raises the sum of squared fills, until no such exchange between any two bins of the group is left.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import deque
 from math import ceil
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import n_words
 
 CAPACITY, GROUP, SEED = 2048, 20_000, 29
-#: The neighbourhood: an underfull bin exchanges with that many of the fullest underfull bins, in so many sweeps at most.
-NEIGHBOURS, SWEEPS = 48, 12
+#: Partners are tried in blocks, the fullest first, this many at first and then four times as many each; all of them before a bin is settled.
+BLOCK = 128
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -38,54 +39,108 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Bins:
+    """Underfull bins, with the distinct sums of their pieces as sorted keys bin * width + sum: of none and one, and of two."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.bins, self.sizes, self.capacity, self.width = bins, sizes, capacity, capacity + 1
+        self.fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+        self.one, self.two = (np.concatenate([self._keys(b, of) for b in range(len(bins))]) for of in (self.ones, self.twos))
+
+    def ones(self, b: int) -> dict[int, tuple[int, ...]]:
+        return {0: ()} | {self.sizes[i]: (i,) for i in reversed(self.bins[b])}
+
+    def twos(self, b: int) -> dict[int, tuple[int, ...]]:
+        by: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            by.setdefault(self.sizes[i], []).append(i)
+        kinds, out = sorted(by), {}
+        for x, v in enumerate(kinds):
+            if len(by[v]) > 1:
+                out[2 * v] = (by[v][0], by[v][1])
+            for w in kinds[:x]:
+                out[v + w] = (by[v][0], by[w][0])
+        return out
+
+    def _keys(self, b: int, of) -> np.ndarray:
+        return np.array(sorted(of(b)), np.int64) + b * self.width
+
+    def set(self, b: int, pieces: list[int]) -> None:
+        self.bins[b], self.fill[b] = pieces, sum(self.sizes[i] for i in pieces)
+        for name, of in (("one", self.ones), ("two", self.twos)):
+            keys = getattr(self, name)
+            lo, hi = np.searchsorted(keys, (b * self.width, (b + 1) * self.width))
+            setattr(self, name, np.concatenate([keys[:lo], self._keys(b, of), keys[hi:]]))
+
+    def best(self, x: int, others: np.ndarray) -> tuple[int, int, int, int, int] | None:
+        """(gain, giver, receiver, sum given, sum given back) of the best exchange of x with one of `others`.
+
+        A shift of d tokens from a bin of fill f to one of fill g changes the sum of squares by 2d(g - f + d), which grows
+        with d where it is positive: of each pair only the largest d that fits need be tried.
+        """
+        one, two = (np.array(sorted(of(x)), np.int64) for of in (self.ones, self.twos))
+        fx, fo, found = int(self.fill[x]), self.fill[others], None
+        base = others * self.width
+        for mine, keys in ((one, self.one), (two, self.one), (one, self.two)):
+            if not len(mine) or not len(keys):
+                continue
+            # x gives: of the other's sums the least that makes the shift fit; x receives: the largest that fits.
+            for gives in (True, False):
+                if gives:
+                    need = np.maximum(mine[None, :] - (self.capacity - fo)[:, None], 0) + base[:, None]
+                    at = np.searchsorted(keys, need.ravel()).reshape(need.shape)
+                else:
+                    need = np.minimum(mine[None, :] + (self.capacity - fx), self.capacity) + base[:, None]
+                    at = np.searchsorted(keys, need.ravel(), "right").reshape(need.shape) - 1
+                theirs = keys[np.clip(at, 0, len(keys) - 1)] - base[:, None]
+                ok = (at >= 0) & (at < len(keys)) & (theirs >= 0) & (theirs <= self.capacity)
+                d = mine[None, :] - theirs if gives else theirs - mine[None, :]
+                toward = (fo - fx if gives else fx - fo)[:, None]
+                gain = np.where(ok & (d > 0), 2 * d * (toward + d), 0)
+                k = int(gain.argmax())
+                r, c = divmod(k, len(mine))
+                if gain[r, c] > 0 and (found is None or gain[r, c] > found[0]):
+                    o, m, t = int(others[r]), int(mine[c]), int(theirs[r, c])
+                    found = (int(gain[r, c]), x, o, m, t) if gives else (int(gain[r, c]), o, x, t, m)
+        return found
+
+
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Exchanges between underfull bins that raise the sum of squared fills; emptied bins go.
+    """Exchanges between underfull bins that raise the sum of squared fills, until none is left; emptied bins go.
 
-    For two bins the sum rises exactly if their fills move apart, so each sweep drains the emptiest bins into the fullest.
+    A bin is settled once no exchange with any other is left, and unsettled when its pieces change; every exchange raises a
+    bounded whole number, so all bins settle.  Full and empty bins can't take part in one that raises it.
     """
-    fill = lambda b: sum(sizes[i] for i in b)
-    full, under = [b for b in bins if fill(b) == capacity], [b for b in bins if fill(b) < capacity]
-    for _ in range(SWEEPS):
-        under.sort(key=lambda b: (fill(b), min(b)))
-        changed = False
-        for low in range(len(under)):
-            for high in range(len(under) - 1, max(low, len(under) - 1 - NEIGHBOURS), -1):
-                if not under[low]:
-                    break
-                changed |= bool(under[high]) and _exchange(under[low], under[high], sizes, capacity)
-        full += [b for b in under if fill(b) == capacity]
-        under = [b for b in under if b and fill(b) < capacity]
-        if not changed:
-            break
-    return full + under
-
-
-def _exchange(a: list[int], b: list[int], sizes: list[int], capacity: int) -> bool:
-    """Shift as much as fits from the emptier of two bins to the fuller one, by the exchange that shifts most."""
-    fa, fb = sum(sizes[i] for i in a), sum(sizes[i] for i in b)
-    if fa > fb:
-        a, b, fa, fb = b, a, fb, fa
-    room, best = capacity - fb, (0, None, None)
-    for i in a:  # move
-        if best[0] < sizes[i] <= room:
-            best = (sizes[i], (i,), ())
-    if best[0] < room:
-        give = sorted((sizes[i], i) for i in b)
-        for i in a:  # one for one
-            k = bisect_left(give, (sizes[i] - room, -1))
-            if k < len(give) and 0 < (d := sizes[i] - give[k][0]) <= room and d > best[0]:
-                best = (d, (i,), (give[k][1],))
-        for x in range(len(a)) if best[0] < room else ():  # two for one
-            for y in range(x):
-                s = sizes[a[x]] + sizes[a[y]]
-                k = bisect_left(give, (s - room, -1))
-                if k < len(give) and 0 < (d := s - give[k][0]) <= room and d > best[0]:
-                    best = (d, (a[x], a[y]), (give[k][1],))
-    if best[1] is None:
-        return False
-    a[:] = [i for i in a if i not in best[1]] + list(best[2])
-    b[:] = [i for i in b if i not in best[2]] + list(best[1])
-    return True
+    size = lambda b: sum(sizes[i] for i in b)
+    full, under = [b for b in bins if size(b) == capacity], [b[:] for b in bins if size(b) < capacity]
+    if len(under) < 2:
+        return full + under
+    under.sort(key=lambda b: (size(b), min(b)))
+    state = _Bins(under, sizes, capacity)
+    todo, waiting, changes, order = deque(range(len(under))), np.ones(len(under), bool), 0, None
+    while todo:
+        x = todo.popleft()
+        waiting[x] = False
+        while 0 < state.fill[x] < capacity:
+            if order is None or changes % 16 == 0:
+                order = np.argsort(-state.fill, kind="stable")
+            others = order[(state.fill[order] < capacity) & (state.fill[order] > 0) & (order != x)]
+            found, lo, step = None, 0, BLOCK
+            while found is None and lo < len(others):
+                found, lo, step = state.best(x, others[lo : lo + step]), lo + step, 4 * step
+            if found is None:
+                break
+            _, giver, receiver, given, back = found
+            changes += 1
+            give, take = (({**state.twos(b), **state.ones(b)})[s] for b, s in ((giver, given), (receiver, back)))
+            a, b = state.bins[giver], state.bins[receiver]
+            state.set(giver, [i for i in a if i not in give] + list(take))
+            state.set(receiver, [i for i in b if i not in take] + list(give))
+            other = receiver if giver == x else giver
+            if not waiting[other]:
+                waiting[other] = True
+                todo.append(other)
+    return full + [b for b in state.bins if b]
 
 
 def _pack(capacity: int):

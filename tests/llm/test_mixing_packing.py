@@ -105,3 +105,26 @@ def test_small_source_does_not_shrink_the_mixture(spark):
     want = {s: int(4001 * w / sum(raw.values()) + 1e-6) for s, w in raw.items()}
     assert all(x.budget == want[x.source] and x.shortfall == max(0, want[x.source] - (200 if x.source else 1)) for x in got)
     assert any(x.shortfall > 0 for x in got)
+
+
+def improving(a, b, sizes, capacity):
+    """Whether a move of one, or exchange one for one or two for one, raises the sum of squared fills of two bins."""
+    fa, fb = sum(sizes[i] for i in a), sum(sizes[i] for i in b)
+    sums = lambda x: {0: {0}, 1: {sizes[i] for i in x}, 2: {sizes[i] + sizes[j] for k, i in enumerate(x) for j in x[:k]}}
+    sa, sb = sums(a), sums(b)
+    for m, n in ((1, 0), (0, 1), (1, 1), (2, 1), (1, 2)):
+        for d in (s - t for s in sa[m] for t in sb[n]):
+            if fa - d <= capacity and fb + d <= capacity and (fa - d) ** 2 + (fb + d) ** 2 > fa**2 + fb**2:
+                return True
+    return False
+
+
+def test_no_improving_exchange_is_left():
+    r = random.Random(8)
+    for low, high, n in ((300, 1500, 900), (600, 1400, 900), (20, 60, 500), (1, 2047, 300)):
+        sizes = [r.randint(low, high) for _ in range(n)]
+        before = packing.best_fit(sizes, 2048)
+        after = packing.local_search([b[:] for b in before], sizes, 2048)
+        assert sorted(i for b in after for i in b) == list(range(n)) and len(after) <= len(before)
+        assert all(sum(sizes[i] for i in b) <= 2048 for b in after)
+        assert not any(improving(a, b, sizes, 2048) for k, a in enumerate(after) for b in after[:k])

@@ -10,20 +10,14 @@ from pyspark.sql import functions as F
 from mhr.llm import mixing, ngram_join, packing, pii, quality
 from mhr.llm.common import stored
 
-#: Ids of dropped copies that are broadcast, at most; more are joined by shuffle.
-BROADCAST = 2_000_000
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each connected group of near duplicates, and all that have none."""
-    drop = stored(ngram_join.near_duplicate_groups(docs).where("doc_id <> keeper").select(F.col("doc_id").alias("_dropped")), "dropped")
-    side = F.broadcast(drop) if drop.count() <= BROADCAST else drop.hint("shuffle_hash")
-    return docs.join(side, docs.doc_id == side._dropped, "left_anti")
+    """The document of least id of each connected group of near duplicates, and all that have none; of repeated rows one."""
+    return ngram_join.drop_near_duplicates(docs)
 
 
 def private_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@ whose probabilities are calibrated by a temperature.
 
 Tokens are words (case folded), runs of punctuation, and two markers: a word that repeats the one before it, and a word
 in capitals.  Each hashed token has a sparse ternary index vector; its word vector is the sum of the index vectors of the
-tokens around it in the fitting sample.  A document is the mean of its tokens' vectors, over its whole text.
+tokens around it in all documents: one distributed pass, whose tasks send sums of whole numbers, so that their order doesn't
+matter.  A document is the mean of its tokens' vectors, over its whole text.  Only the network is fitted on a sample.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,12 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import BYTE, keyed_text, mix, text_chunks, words
 
-#: Labelled rows to fit on, of each class: the documented bound of the sample.
+#: Labelled rows to fit the network on, of each class: the documented bound of the sample.
 FIT_ROWS = 1500
-BUCKETS, WIDTH, WINDOW, HIDDEN, THRESHOLD = 1 << 16, 32, 2, 24, 0.5
+WIDTH, NONZERO, WINDOW, HIDDEN, THRESHOLD = 32, 6, 2, 24, 0.5
+#: Buckets of tokens: SPREAD * sqrt(rows), as a vocabulary grows, as a power of two between these; the broadcast is 64 bytes each.
+SPREAD, LEAST, MOST = 512, 1 << 14, 1 << 20
 PRIOR = 12.0
-#: Tokens worked on at a time.
-BLOCK = 1 << 17
+#: Tokens worked on at a time; buckets of a block of sums that is sent.
+BLOCK, PART = 1 << 17, 1 << 12
 
 _LEXICAL = np.zeros(256, bool)
 _LEXICAL[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -34,11 +38,11 @@ _FOLDED[65:91] = BYTE[97:123]
 _AGAIN, _CAPS = 0, 1
 
 
-def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens(buf: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the tokens of all texts in order, and ptr: those of text i are ptr[i]:ptr[i+1]."""
     w, ws, we, wp = words(buf, offs, _LEXICAL, _FOLDED)
     s, ss, _, _ = words(buf, offs, _SYMBOL)
-    bucket = lambda h: (h % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
+    bucket = lambda h: (h % np.uint64(buckets - 2)).astype(np.int64) + 2
     upper = np.append(0, np.cumsum((buf >= 65) & (buf <= 90)))
     lower = np.append(0, np.cumsum((buf >= 97) & (buf <= 122)))
     caps = (upper[we] - upper[ws] >= 2) & (lower[we] == lower[ws])
@@ -51,43 +55,100 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b[order], np.searchsorted(at[order], offs * 3)
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse ternary vectors, six non-zeros of WIDTH in each bucket."""
-    x = np.zeros((BUCKETS, WIDTH), np.float32)
-    b = np.arange(BUCKETS, dtype=np.uint64)
-    for k in range(6):
-        h = mix(b * np.uint64(8) + np.uint64(k + 1))
-        x[np.arange(BUCKETS), (h % np.uint64(WIDTH)).astype(int)] += np.where(h >> np.uint64(63), 1, -1)
-    return x
+def index_entries(b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Column and sign of the k-th of the NONZERO entries of each bucket's ternary index vector."""
+    h = mix(b.astype(np.uint64) * np.uint64(8) + np.uint64(k + 1))
+    return (h % np.uint64(WIDTH)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1)
 
 
-def word_vectors(b: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """Unit sums of neighbours' index vectors within WINDOW, for tokens seen in the sample; zero for others."""
-    index, out = index_vectors(), np.zeros((BUCKETS, WIDTH), np.float32)
+def neighbour_sums(b: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that occur, sums): the index vectors of tokens within WINDOW of each, a neighbour at distance d weighing WINDOW // d."""
+    seen, local = np.unique(b, return_inverse=True)
     doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    at, near, weight = [], [], []
     for d in range(1, WINDOW + 1):
-        for lo in range(0, len(b) - d, BLOCK):  # a block of pairs at a time, to bound memory
-            hi = min(len(b) - d, lo + BLOCK)
-            ok = doc[lo + d : hi + d] == doc[lo:hi]
-            left, right = b[lo:hi][ok], b[lo + d : hi + d][ok]
-            for j in range(WIDTH):
-                out[:, j] += np.bincount(left, index[right, j] / d, BUCKETS) + np.bincount(right, index[left, j] / d, BUCKETS)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.where(norm > 0, out / np.maximum(norm, 1e-9), 0).astype(np.float32)
+        left = np.flatnonzero(doc[d:] == doc[: len(b) - d]) if len(b) > d else np.empty(0, np.int64)
+        at += [left, left + d]
+        near += [left + d, left]
+        weight.append(np.full(2 * len(left), WINDOW // d))
+    at, near, weight = np.concatenate(at), np.concatenate(near), np.concatenate(weight)
+    out = np.zeros(len(seen) * WIDTH)
+    for k in range(NONZERO):
+        column, sign = index_entries(seen, k)
+        out += np.bincount(local[at] * WIDTH + column[local[near]], sign[local[near]] * weight, len(out))
+    return seen, out.reshape(-1, WIDTH).astype(np.int64)
+
+
+def _summed(buckets: int):
+    """Blocks of PART buckets' sums over the texts of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((buckets, WIDTH), np.int64)
+        for batch in batches:
+            for _, _, buf, offs in text_chunks(batch, "text", lower=False):
+                b, ptr = tokens(buf, offs, buckets)
+                lo, n = 0, len(ptr) - 1
+                while lo < n:  # as many texts as have about BLOCK tokens; of a longer one a block at a time, with WINDOW tokens of the next
+                    hi = max(lo + 1, int(np.searchsorted(ptr, ptr[lo] + BLOCK, "right")) - 1)
+                    for start in range(ptr[lo], ptr[hi], BLOCK) if hi == lo + 1 else (ptr[lo],):
+                        if hi > lo + 1:
+                            seen, sums = neighbour_sums(b[ptr[lo] : ptr[hi]], ptr[lo : hi + 1] - ptr[lo])
+                            total[seen] += sums
+                        else:
+                            own = b[start : min(start + BLOCK + WINDOW, ptr[hi])]
+                            seen, sums = neighbour_sums(own, np.array([0, len(own)]))
+                            total[seen] += sums
+                            if start + BLOCK < ptr[hi]:  # pairs inside the tokens that the next block has too count once
+                                seen, sums = neighbour_sums(own[BLOCK:], np.array([0, len(own) - BLOCK]))
+                                total[seen] -= sums
+                    lo = hi
+        parts = [i for i in range(0, buckets, PART) if total[i : i + PART].any()]
+        yield _blocks(parts, [total[i : i + PART] for i in parts])
+
+    return run
+
+
+def _blocks(parts: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums], pa.binary())], ["part", "sums"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = np.frombuffer(zlib.decompress(data), np.int64)
+            total[part] = total[part] + x if part in total else x
+    yield _blocks(list(total), list(total.values()))
+
+
+def word_vectors(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Unit vectors of all buckets over all texts of `docs` (text); zero for those that never occur."""
+    blocks = docs.select("text").where("text is not null").mapInArrow(_summed(buckets), "part bigint, sums binary")
+    blocks = blocks.repartition(min(16, max(1, buckets // PART)), "part").mapInArrow(_merged, "part bigint, sums binary")
+    out = np.zeros((buckets, WIDTH), np.float32)
+    for part, data in blocks.collect():  # at most `buckets` sums
+        x = np.frombuffer(zlib.decompress(data), np.int64).reshape(-1, WIDTH)
+        out[part : part + len(x)] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return out.astype(np.float16)
+
+
+def buckets_for(rows: int) -> int:
+    return min(MOST, max(LEAST, 1 << int(np.ceil(np.log2(SPREAD * max(1, rows) ** 0.5)))))
 
 
 def pooled(vectors: np.ndarray, prior: np.ndarray, b: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Mean token vector of each text, with PRIOR tokens of the prior vector added, so that few words say little."""
     out = np.zeros((len(ptr) - 1, WIDTH), np.float32)
     lo, n = 0, len(ptr) - 1
-    while lo < n:  # as many texts as have about BLOCK tokens; a longer text by its counts
+    while lo < n:  # as many texts as have about BLOCK tokens; a longer text a block at a time
         hi = max(lo + 1, int(np.searchsorted(ptr, ptr[lo] + BLOCK, "right")) - 1)
         own = b[ptr[lo] : ptr[hi]]
         if len(own) > BLOCK:
-            out[lo] = np.bincount(own, minlength=BUCKETS) @ vectors
+            for i in range(0, len(own), BLOCK):
+                out[lo] += vectors[own[i : i + BLOCK]].astype(np.float32).sum(0)
         elif len(own):
             full = lo + np.flatnonzero(np.diff(ptr[lo : hi + 1]) > 0)
-            out[full] = np.add.reduceat(vectors[own], ptr[full] - ptr[lo], axis=0)
+            out[full] = np.add.reduceat(vectors[own].astype(np.float32), ptr[full] - ptr[lo], axis=0)
         lo = hi
     return (out + PRIOR * prior) / (np.diff(ptr)[:, None] + PRIOR)
 
@@ -112,16 +173,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
 
 
-def fit(texts: list[str], good: np.ndarray, seed: int = 7) -> Model:
-    """Word vectors and network from labelled texts; a fifth is held out for the temperature."""
-    parts = [tokens(buf, offs) for _, _, buf, offs in text_chunks(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), "text", lower=False)]
+def fit(texts: list[str], good: np.ndarray, vectors: np.ndarray, seed: int = 7) -> Model:
+    """The network from labelled texts; a fifth is held out for the temperature."""
+    buckets = len(vectors)
+    parts = [tokens(buf, offs, buckets) for _, _, buf, offs in text_chunks(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), "text", lower=False)]
     b = np.concatenate([x for x, _ in parts])
     ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p) for _, p in parts]))])
-    vectors = word_vectors(b, ptr)
     y = good.astype(float)
     fine = np.repeat(y > 0, np.diff(ptr))
-    seen = np.bincount(b[fine], minlength=BUCKETS)
-    prior = seen @ vectors / seen.sum() if seen.any() else np.zeros(WIDTH)
+    seen = np.bincount(b[fine], minlength=buckets)
+    prior = seen @ vectors.astype(np.float32) / seen.sum() if seen.any() else np.zeros(WIDTH)
     x = pooled(vectors, prior, b, ptr).astype(float)
     rng = np.random.RandomState(seed)
     held = rng.rand(len(y)) < 0.2
@@ -149,19 +210,22 @@ def fit(texts: list[str], good: np.ndarray, seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fit on at most `fit_rows` labelled documents of each class, those of least hash of their id.
+    """Word vectors of all documents, and the network fitted on at most `fit_rows` labelled ones of each class, those of
+    least hash of their id (of an id with several labels the greatest counts, of one with several texts the least).
     None if a class has none: then every document passes."""
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     pick = [r for q in (0, 1) for r in lab.where(F.col("y") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()]
     want = dict((r[0], r[1]) for r in pick)
     if len(set(want.values())) < 2:
         return None
-    spark = docs.sparkSession
+    spark, flat = docs.sparkSession, keyed_text(docs, id_col, text_col)
     ids = spark.createDataFrame([(i,) for i in want], "doc_id bigint")
-    got = {r[0]: r[1] for r in keyed_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").where("text is not null").collect()}  # 2 * fit_rows at most
+    got = {r[0]: r[1] for r in flat.join(F.broadcast(ids), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text")).collect()}  # 2 * fit_rows at most
     order = sorted(got)
     y = np.array([want[i] for i in order], float)
-    return fit([got[i] for i in order], y) if 0 < y.sum() < len(y) else None
+    if not 0 < y.sum() < len(y):
+        return None
+    return fit([got[i] for i in order], y, word_vectors(flat, buckets_for(docs.count())))
 
 
 def _score(shared):
@@ -171,7 +235,7 @@ def _score(shared):
             p = np.ones(batch.num_rows)
             if m is not None:
                 for lo, hi, buf, offs in text_chunks(batch, "text", lower=False):
-                    b, ptr = tokens(buf, offs)
+                    b, ptr = tokens(buf, offs, len(m.vectors))
                     p[lo:hi] = np.where(np.diff(ptr) > 0, m.probability(pooled(m.vectors, m.prior, b, ptr)), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(p, 6)), *batch.columns[2:]], ["doc_id", "p_good", *batch.schema.names[2:]])
 
@@ -183,7 +247,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     Null, empty or tokenless texts have p_good 0 and are rejected.  Rows that repeat, and null ids, are scored like any
     other.  Without labels of both classes nothing is rejected (p_good 1).  An empty table gives an empty result; other
-    columns are ignored.  The model is fixed in size (2^16 vectors of 32), so it is broadcast.
+    columns are ignored.  The model has at most MOST vectors of 64 bytes, so it is broadcast.  Runs jobs while the result is built.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, fit_rows, id_col, text_col))
     out = keyed_text(docs, id_col, text_col).mapInArrow(_score(shared), "doc_id bigint, p_good double")

@@ -2,12 +2,13 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 
 from mhr.llm import html_extract, licenses, pii, quality, topk
-from mhr.llm.common import split_words
+from mhr.llm.common import hash_of, split_words
 
 DOCS = "doc_id bigint, text string, spans string, score double"
 
@@ -144,9 +145,69 @@ def test_quality_held_out(spark):
     assert quality.quality_scores(docs(spark, []), labels).count() == 0
 
 
+def plain_tokens(text, buckets):
+    """Buckets of a text's tokens, by regular expressions."""
+    out, last = [], None
+    for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\s\0]+", text):
+        w = m[0]
+        if re.match(r"[0-9A-Za-z\x80-\U0010ffff]", w):
+            out.append(int(hash_of(re.sub("[A-Z]", lambda x: x[0].lower(), w))) % (buckets - 2) + 2)
+            caps = re.sub("[^A-Z]", "", w)
+            if len(caps) >= 2 and not re.search("[a-z]", w):
+                out.append(1)
+            if last == w.lower():
+                out.append(0)
+            last = w.lower()
+        else:
+            h = quality.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), quality._SYMBOL)[0]
+            out.append(int(quality.mix(h + np.uint64(1))[0] % np.uint64(buckets - 2)) + 2)
+    return out
+
+
+def test_quality_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    rows = labelled(120, 3) + [(500, "Aa aa BB !! zz " * 60, 1), (501, "", 1)]
+    table, buckets = docs(spark, [(i, t) for i, t, _ in rows]), 1 << 14
+    want = np.zeros((buckets, quality.WIDTH))
+    for _, t, _ in rows:
+        b = plain_tokens(t, buckets)
+        for i, x in enumerate(b):
+            for j, y in enumerate(b):
+                if i != j and abs(i - j) <= quality.WINDOW:
+                    for k in range(quality.NONZERO):
+                        column, sign = quality.index_entries(np.array([y]), k)
+                        want[x, column[0]] += sign[0] * (quality.WINDOW // abs(i - j))
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    got = quality.word_vectors(table, buckets)
+    assert np.allclose(got, want, atol=2e-3) and quality.buckets_for(len(rows)) == buckets
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    m = quality.train(table, labels)
+    for x in quality.quality_scores(table, labels).collect():
+        b = plain_tokens(dict((i, t) for i, t, _ in rows)[x.doc_id], buckets)
+        mean = (sum((m.vectors[i].astype(float) for i in b), np.zeros(quality.WIDTH)) + quality.PRIOR * m.prior) / (len(b) + quality.PRIOR)
+        hidden = np.tanh((mean - m.mean) / m.scale @ m.w1 + m.b1)
+        p = 1 / (1 + math.exp(-max(-30, min(30, (hidden @ m.w2 + m.b2) / m.temperature)))) if b else 0.0
+        assert abs(p - x.p_good) < 2e-3 and x.keep == (x.p_good >= 0.5)
+
+
+def test_quality_does_not_depend_on_row_order(spark):
+    rows = labelled(200, 5)
+    twice = [(i, t) for i, t, _ in rows] + [(i, t[::-1]) for i, t, _ in rows[:40]]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    score = lambda table: sorted((x.doc_id, x.p_good) for x in quality.quality_scores(table, labels).collect())
+    assert score(docs(spark, twice)) == score(docs(spark, twice[::-1]).repartition(3))
+
+
+def test_quality_clashing_columns(spark):
+    rows = labelled(60, 6)
+    table = spark.createDataFrame([(i, t, 0.1, False) for i, t, _ in rows], "doc_id bigint, text string, p_good double, keep boolean")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    assert quality.quality_scores(table, labels).columns == ["doc_id", "p_good", "keep"] and quality.keep_good(table, labels).where("p_good = 0.1 and not keep").count() > 0
+
+
 def test_pooling_in_blocks(monkeypatch):
     r = np.random.RandomState(0)
-    v, b, ptr = r.rand(quality.BUCKETS, quality.WIDTH).astype(np.float32), r.randint(0, quality.BUCKETS, 900), np.array([0, 0, 3, 10, 700, 700, 900])
+    v, b, ptr = r.rand(5000, quality.WIDTH).astype(np.float32), r.randint(0, 5000, 900), np.array([0, 0, 3, 10, 700, 700, 900])
     whole = quality.pooled(v, np.zeros(quality.WIDTH), b, ptr)
     monkeypatch.setattr(quality, "BLOCK", 64)
     assert np.allclose(whole, quality.pooled(v, np.zeros(quality.WIDTH), b, ptr), atol=1e-4)

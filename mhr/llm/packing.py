@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import n_words
 
 CAPACITY, GROUP, SEED = 2048, 20_000, 29
+#: Copies of one repeated row that a task makes pieces of.
+COPIES = 65_536
 #: Partners are tried in blocks, the fullest first, this many at first and then four times as many each; all of them before a bin is settled.
 BLOCK = 128
 
@@ -145,7 +147,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
 
 def _pack(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "key", "piece"], ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "key", "copy", "piece"], ignore_index=True)
         sizes = pdf["n_tokens"].tolist()
         whole = [[i] for i, s in enumerate(sizes) if s == capacity]
         open_ = [i for i, s in enumerate(sizes) if s < capacity]
@@ -166,8 +168,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, seed: in
     place `slot` of sequence bin_id, which holds `fill` tokens.
 
     Tokens are words parted by white space.  A document of more than `capacity` tokens has several pieces, all but the last
-    full.  Null, empty and blank texts have no tokens and are in no bin.  Repeated rows and null ids are packed like others
-    (ties in order of id, then hash of the text).  An empty table gives an empty result; other columns are ignored.
+    full.  Null, empty and blank texts have no tokens and are in no bin.  Null ids are packed like others; rows that repeat
+    are numbered, and so spread over the groups like others, not heaped in one (ties in order of id, hash of the text, then
+    that number).  The search goes on until no exchange inside a group is left; a group has about `group` pieces.  An empty
+    table gives an empty result; other columns are ignored.  Runs a job while the result is built.
     """
     flat = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), n_words(F.col(text_col).cast("string")).alias("n"))
     return _packed(flat, capacity, group, seed)
@@ -176,9 +180,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, seed: in
 def _packed(flat: DataFrame, capacity: int, group: int, seed: int) -> DataFrame:
     from .common import stored
 
-    flat = stored(flat.where("n > 0"), "lengths")
-    count = flat.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0
-    cut = flat.select("doc_id", "key", F.posexplode(F.transform(F.sequence(F.lit(0), (F.ceil(F.col("n") / capacity) - 1).cast("int")), lambda i: F.least(F.lit(capacity), F.col("n") - i * capacity).cast("bigint"))).alias("piece", "n_tokens"))
-    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key", "piece"), F.lit(max(1, ceil(count / group))))
+    flat = stored(flat.where("n > 0").groupBy("doc_id", "key", "n").agg(F.count("*").alias("copies")), "lengths")
+    count, most = flat.agg(F.sum(F.ceil(F.col("n") / capacity) * F.col("copies")), F.max("copies")).first()
+    blocks = flat.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))
+    if (most or 0) > COPIES:
+        blocks = blocks.repartition("doc_id", "key", "first")
+    each = blocks.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + COPIES, "copies") - 1)))
+    cut = each.select("doc_id", "key", "copy", F.posexplode(F.transform(F.sequence(F.lit(0), (F.ceil(F.col("n") / capacity) - 1).cast("int")), lambda i: F.least(F.lit(capacity), F.col("n") - i * capacity).cast("bigint"))).alias("piece", "n_tokens"))
+    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key", "copy", "piece"), F.lit(max(1, ceil((count or 0) / group))))
     out = cut.withColumn("group", spread).groupBy("group").applyInPandas(_pack(capacity), "doc_id bigint, piece int, n_tokens bigint, group bigint, bin bigint, slot bigint, fill bigint")
     return out.select("doc_id", "piece", (F.col("piece") * F.lit(capacity)).cast("bigint").alias("start"), "n_tokens", (F.col("group") * F.lit(1 << 32) + F.col("bin")).alias("bin_id"), "slot", "fill")

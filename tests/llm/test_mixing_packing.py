@@ -57,7 +57,7 @@ def test_mixture_default_uses_scarcest_source_whole(spark):
 def test_mixing_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "x y", None), (3, "x y", None), (None, "z", "a"), (4, "long " * 30_000, "a")]
     got = Counter((x.doc_id, x.source, x.n_tokens) for x in mixing.mix_sources(frame(spark, rows), {"a": 1, "": 1}, 10**6).collect())
-    assert got == {(2, "a", 0): 1, (3, None, 2): 2, (None, "a", 1): 1, (4, "a", 30_000): 1}
+    assert got == {(2, "a", 0): 1, (3, None, 2): 1, (None, "a", 1): 1, (4, "a", 30_000): 1}
     assert mixing.mix_sources(frame(spark, [])).count() == 0
     assert mixing.mix_rows(frame(spark, rows)).columns == [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -128,3 +128,109 @@ def test_no_improving_exchange_is_left():
         assert sorted(i for b in after for i in b) == list(range(n)) and len(after) <= len(before)
         assert all(sum(sizes[i] for i in b) <= 2048 for b in after)
         assert not any(improving(a, b, sizes, 2048) for k, a in enumerate(after) for b in after[:k])
+
+
+def test_mixing_equals_brute_force(spark, monkeypatch):
+    """Each source's tokens are the best that any choice reaches, and of each length the documents of least hash go in."""
+    monkeypatch.setattr(mixing, "RANKED", 4)  # histograms of the hashes
+    rows = corpus(400, 5) + corpus(400, 5)[:50]
+    table, weights, total = frame(spark, rows), {"a": 2, "b": 1, "c": 1}, 6000
+    key = {(x.doc_id, x.source): x.k for x in table.select("doc_id", "source", mixing._key(table.text, table.doc_id, mixing.SEED).alias("k")).collect()}
+    got = mixing.mix_sources(table, weights, total).collect()
+    distinct = set(rows)
+    for source, w in weights.items():
+        size = {i: len(t.split()) for i, t, s in distinct if s == source}
+        mine = Counter(x.doc_id for x in got if x.source == source)
+        counts = Counter(size.values())
+        best = mixing.brute_force(list(counts), list(counts.values()), total * w // 4)
+        assert set(mine.values()) == {1} and sum(size[i] for i in mine) == best
+        for length in counts:
+            ranked = sorted((i for i in size if size[i] == length), key=lambda i: key[i, source])
+            taken = [i for i in ranked if i in mine]
+            assert taken == ranked[: len(taken)]
+
+
+def test_mixing_repeated_rows_keep_the_weights(spark):
+    rows = [(1, "w " * 50, "a")] * 60 + [(100 + i, f"u{i} " * 10, "a") for i in range(40)] + [(300 + i, f"v{i} " * 10, "b") for i in range(40)]
+    got = Counter()
+    for x in mixing.mix_sources(frame(spark, rows), {"a": 1, "b": 1}, 300).collect():
+        got[x.source] += x.n_tokens
+    assert got == {"a": 150, "b": 150}
+
+
+def test_mixing_ties_and_clashing_columns(spark):
+    table = spark.createDataFrame([(i, f"t{i} x", "a", 1, 2, 3) for i in range(50)], "doc_id bigint, text string, source string, budget int, take int, copies int")
+    got = mixing.mix_rows(table, {"a": 1}, 41)
+    assert got.columns == table.columns and got.count() == 20
+    assert {x.doc_id for x in mixing.mix_sources(table, {"a": 1}, 41).collect()} == {x.doc_id for x in got.collect()}
+
+
+def test_long_document_leaves_the_programme_small():
+    lengths, counts = np.array([1, 7, 10_000_000]), np.array([500, 300, 2])
+    take = mixing.take_counts(lengths, counts, 12_000_001)
+    assert (take <= counts).all() and (take * lengths).sum() == 10_002_600 and take[2] == 1
+
+
+def plain_best_fit(sizes, capacity):
+    bins = []
+    for i in sorted(range(len(sizes)), key=lambda j: (-sizes[j], j)):
+        fits = [(capacity - sum(sizes[x] for x in b), k) for k, b in enumerate(bins) if sum(sizes[x] for x in b) + sizes[i] <= capacity]
+        if fits:
+            bins[min(fits)[1]].append(i)
+        else:
+            bins.append([i])
+    return bins
+
+
+def least_bins(sizes, capacity):
+    best = len(sizes)
+
+    def place(i, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if i == len(sizes):
+            best = len(fills)
+            return
+        for k in range(len(fills)):
+            if fills[k] + sizes[i] <= capacity and fills[k] not in fills[:k]:
+                place(i + 1, fills[:k] + [fills[k] + sizes[i]] + fills[k + 1 :])
+        place(i + 1, fills + [sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_brute_force(spark):
+    r = random.Random(11)
+    for _ in range(40):
+        sizes = [r.randint(1, 40) for _ in range(60)]
+        assert packing.best_fit(sizes, 50) == plain_best_fit(sizes, 50)
+    near = 0
+    for _ in range(60):
+        sizes = sorted((r.randint(5, 45) for _ in range(11)), reverse=True)
+        mine, least = len(packing.local_search(packing.best_fit(sizes, 50), sizes, 50)), least_bins(sizes, 50)
+        assert least <= mine <= least + 1
+        near += mine == least
+    assert near >= 50
+    rows = [(i, "w " * r.choice([3, 20, 31, 44, 60, 130]), "a") for i in range(90)]
+    bins = defaultdict(list)
+    for x in packing.pack(frame(spark, rows), 50, 1000).collect():
+        bins[x.bin_id].append(x.n_tokens)
+    flat = [s for b in bins.values() for s in b]
+    at = iter(range(len(flat)))
+    numbered = [[next(at) for _ in b] for b in bins.values()]
+    assert sorted(flat) == sorted(min(50, n - k) for n in (len(t.split()) for _, t, _ in rows) for k in range(0, n, 50))
+    assert not any(improving(a, b, flat, 50) for k, a in enumerate(numbered) for b in numbered[:k])
+
+
+def test_repeated_rows_are_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 1000)
+    table = spark.range(100_000).selectExpr("7L as doc_id", "'a b c d e' as text")
+    got = packing.pack(table, 100, 5000).selectExpr("shiftright(bin_id, 32) as g", "n_tokens", "fill").groupBy("g").count().collect()
+    assert sum(x["count"] for x in got) == 100_000 and len(got) == 20 and max(x["count"] for x in got) < 5600
+
+
+def test_very_long_document_at_the_default_capacity(spark):
+    got = packing.pack(frame(spark, [(1, "w " * 300_000, "a"), (2, "x", "a")])).collect()
+    assert sum(x.n_tokens for x in got if x.doc_id == 1) == 300_000 and {x.start for x in got if x.doc_id == 1} == set(range(0, 300_000, 2048))

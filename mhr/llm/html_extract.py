@@ -2,7 +2,8 @@
 
 Every element and text run of the DOM is a binary variable, content or not, with a log-linear potential of its features;
 parent-child potentials depend on the kind of edge.  Sum-product messages go up from the leaves and down from the root,
-all nodes of a depth at once over a batch of pages, and give exact content marginals.  The weights maximise the likelihood
+all nodes of a depth at once over a batch of pages, and give exact content marginals.  Trees of any depth are read whole;
+memory goes with the nodes of a batch, at most BYTES of pages or one longer page.  The weights maximise the likelihood
 of labelled pages (expected counts come from the same messages); the pages are seeded and made here.
 """
 
@@ -16,14 +17,21 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES, STEPS, THRESHOLD, PAGES = 240, 250, 0.5, 400
+TRAIN_PAGES, STEPS, THRESHOLD = 240, 250, 0.5
+#: Characters of pages that are worked on together.
+BYTES = 2 << 20
 
+_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+"
+_RAW = r"(?:script|style|textarea|iframe)(?=[\s/>])"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?][^>]*>|([^<]+)|<", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<{_RAW}{_ATTRS}(?<=/)>|<({_RAW}).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)({_ATTRS})>|<[!?][^>]*>|([^<]+)|<", re.S | re.I
 )
+#: Elements whose text isn't shown.
+_HIDDEN = ("svg", "template", "noscript")
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.I)
 _BAD = re.compile(r"\b(?:ad|ads|advert\w*|banner|nav\w*|menu|foot\w*|side\w*|social|share\w*|cookie\w*|comment\w*|promo\w*|related|widget|breadcrumb\w*|login|search|subscribe|newsletter)\b", re.I)
 _GOOD = re.compile(r"\b(?:article\w*|content|post\w*|entry|main|story|body\w*|text)\b", re.I)
@@ -31,7 +39,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul br title head".split())
 _ENDS_P = _BLOCK - {"br", "body", "html", "td", "th", "li", "dd", "dt", "title", "head"}
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_SCOPE = frozenset("ul ol dl table body html".split())
+_SCOPE = frozenset("ul ol dl table body html #root".split())
 _GROUPS = {t: g for g, ts in enumerate(("p pre blockquote", "article main section", "div span", "nav ul ol li menu", "header footer aside", "h1 h2 h3 h4 h5 h6", "a", "table tr td th tbody", "form button input label select option", "title head meta", "b i em strong code u small sub sup")) for t in ts.split()}
 _OTHER = len(set(_GROUPS.values()))
 _TEXT = _OTHER + 1
@@ -73,14 +81,19 @@ class Pages:
         return len(self.parent) - 1
 
     def read(self, html: str, page: int) -> None:
-        """Adds one page; unclosed, stray and misnested tags are repaired as browsers mostly do."""
-        stack, names, block, links = [self._add(-1, _OTHER, 0, page, None, 0, False)], ["#root"], 0, 0
+        """Adds one page; unclosed, stray and misnested tags are repaired as browsers mostly do.
+
+        Text in svg, template and noscript elements is left out, up to their end tag or that of an element around them; a
+        block inside svg ends it.  One that is closed in itself, or has no end tag behind it, holds nothing.
+        """
+        stack, block = _Open(self._add(-1, _OTHER, 0, page, None, 0, False)), 0
+        last_end: dict[str, int] = {}
         for m in _TOKEN.finditer(html):
             text, name = m[5], m[3]
             if text is not None:
                 text = text.strip()
-                if text:
-                    self._add(stack[-1], _TEXT, 0, page, text, block, links > 0)
+                if text and not any(stack.at.get(h) for h in _HIDDEN):
+                    self._add(stack.nodes[-1], _TEXT, 0, page, text, block, bool(stack.at.get("a")))
                 continue
             if name is None:
                 continue
@@ -88,42 +101,79 @@ class Pages:
             if name in _BLOCK:
                 block += 1
             if m[2]:
-                if name in names:
-                    while names.pop() != name:
-                        stack.pop()
-                        links -= names[-1:] == ["a"]
-                    stack.pop()
-                    links = names.count("a")
+                if stack.at.get(name):
+                    stack.cut(stack.at[name][-1])
                 continue
-            if name in _ENDS_P and "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                if not _SCOPE & set(names[k:]):
-                    del names[k:], stack[k:]
+            scope = stack.scopes[-1]
+            if name in _BLOCK and stack.at.get("svg"):
+                stack.cut(stack.at["svg"][0])
+                scope = stack.scopes[-1]
+            if name in _ENDS_P and stack.at.get("p") and stack.at["p"][-1] > scope:
+                stack.cut(stack.at["p"][-1])
             for old in _CLOSES.get(name, ()):
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] == old:
-                        del names[k:], stack[k:]
-                        break
-                    if names[k] in _SCOPE:
-                        break
+                if stack.at.get(old) and stack.at[old][-1] > scope:
+                    stack.cut(stack.at[old][-1])
             hint = 0
             if m[4]:
                 for h in _HINT.findall(m[4]):
                     hint |= bool(_BAD.search(h.replace("_", " "))) | 2 * bool(_GOOD.search(h.replace("_", " ")))
-            node = self._add(stack[-1], _GROUPS.get(name, _OTHER), hint, page, None, block, False)
-            if name not in _VOID and not m[4].endswith("/") and len(stack) < 200:
-                stack.append(node)
-                names.append(name)
-            links = names.count("a")
+            node = self._add(stack.nodes[-1], _GROUPS.get(name, _OTHER), hint, page, None, block, False)
+            if name in _HIDDEN:
+                if name not in last_end:
+                    ends = list(re.finditer(rf"</{name}(?=[\s/>])", html, re.I))
+                    last_end[name] = ends[-1].start() if ends else -1
+                if last_end[name] < m.start():
+                    continue
+            if name not in _VOID and not m[4].endswith("/"):
+                stack.push(name, node)
+
+
+class _Open:
+    """Open elements: their nodes and names, and at which heights each name, and those that bound others, stand."""
+
+    def __init__(self, root: int):
+        self.nodes, self.names, self.at, self.scopes = [root], ["#root"], {"#root": [0]}, [0]
+
+    def push(self, name: str, node: int) -> None:
+        self.at.setdefault(name, []).append(len(self.nodes))
+        if name in _SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def cut(self, height: int) -> None:
+        """Closes the elements from `height` up."""
+        while len(self.nodes) > height:
+            self.nodes.pop()
+            name = self.names.pop()
+            self.at[name].pop()
+            if name in _SCOPE:
+                self.scopes.pop()
 
 
 @dataclass
 class Forest:
     parent: np.ndarray
     levels: list[np.ndarray]
-    x: np.ndarray
+    group: np.ndarray
+    extra: list[np.ndarray]
     edge: np.ndarray
 
+    @property
+    def x(self) -> np.ndarray:
+        """All features as a matrix, for training."""
+        out = np.zeros((len(self.parent), WIDTH))
+        out[np.arange(len(out)), self.group] = 1
+        out[:, _TEXT + 1 :] = np.stack(self.extra, 1)
+        return out
+
+    def score(self, weights: np.ndarray) -> np.ndarray:
+        """x @ weights, without the matrix."""
+        out = weights[self.group]
+        for w, e in zip(weights[_TEXT + 1 :], self.extra):
+            out += w * e
+        return out
+
 
 def forest(p: Pages) -> Forest:
     """Arrays, features and edge kinds of a batch."""
@@ -143,15 +193,12 @@ def forest(p: Pages) -> Forest:
     for lv in levels[1:]:
         bad[lv], good[lv] = np.maximum(bad[lv], 0.7 * bad[parent[lv]]), np.maximum(good[lv], 0.7 * good[parent[lv]])
     chars = np.maximum(below[0], 1)
-    x = np.zeros((n, WIDTH))
-    x[np.arange(n), group] = 1
     listed = np.isin(group, (3, 4)).astype(float)
     for lv in levels[1:]:
         listed[lv] = np.maximum(listed[lv], listed[parent[lv]])
-    extra = [np.ones(n), np.log1p(below[0]) / 5, np.log1p(below[1]) / 4, below[3] / chars, np.minimum(below[2] / np.maximum(below[1], 1), 0.5) * 2, np.minimum(below[4] / chars * 20, 2), bad, good, listed, np.minimum(depth, 20) / 10, x[up, 0], x[up, 6], np.log1p(below[0][up]) / 8, below[3][up] / chars[up]]
-    x[:, _TEXT + 1 :] = np.stack(extra, 1)
+    extra = [np.ones(n), np.log1p(below[0]) / 5, np.log1p(below[1]) / 4, below[3] / chars, np.minimum(below[2] / np.maximum(below[1], 1), 0.5) * 2, np.minimum(below[4] / chars * 20, 2), bad, good, listed, np.minimum(depth, 20) / 10, (group[up] == 0).astype(float), (group[up] == 6).astype(float), np.log1p(below[0][up]) / 8, below[3][up] / chars[up]]
     edge = np.select([group == _TEXT, np.isin(group, (6, 10)), np.isin(group, (3, 4, 8, 9)), np.isin(group, (0, 5))], [0, 1, 2, 3], 4)
-    return Forest(parent, levels, x, edge)
+    return Forest(parent, levels, group, extra, edge)
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -159,20 +206,20 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return m + np.log(np.exp(a - np.expand_dims(m, axis)).sum(axis))
 
 
-def messages(f: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum-product: (node log beliefs, edge log beliefs [parent state, child state]), neither normalised.
+def messages(f: Forest, unary: np.ndarray, pair: np.ndarray, edges: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sum-product: (node log beliefs, edge log beliefs [parent state, child state], if asked for), neither normalised.
     unary: (n, 2); pair: (EDGES, 2, 2)."""
     inner, up, down = unary.copy(), np.zeros_like(unary), np.zeros_like(unary)
-    theta = pair[f.edge]
     for lv in f.levels[:0:-1]:
-        up[lv] = _lse(theta[lv] + inner[lv][:, None, :], 2)
+        up[lv] = _lse(pair[f.edge[lv]] + inner[lv][:, None, :], 2)
         for s in (0, 1):
             np.add.at(inner[:, s], f.parent[lv], up[lv, s])
-    joint = np.zeros((len(unary), 2, 2))
+    joint = np.zeros((len(unary), 2, 2)) if edges else None
     for lv in f.levels[1:]:
-        rest = (inner + down)[f.parent[lv]] - up[lv] if len(lv) * 4 > len(unary) else inner[f.parent[lv]] + down[f.parent[lv]] - up[lv]
-        down[lv] = _lse(theta[lv] + rest[:, :, None], 1)
-        joint[lv] = theta[lv] + rest[:, :, None] + inner[lv][:, None, :]
+        theta, rest = pair[f.edge[lv]], inner[f.parent[lv]] + down[f.parent[lv]] - up[lv]
+        down[lv] = _lse(theta + rest[:, :, None], 1)
+        if edges:
+            joint[lv] = theta + rest[:, :, None] + inner[lv][:, None, :]
     return inner + down, joint
 
 
@@ -189,8 +236,8 @@ class Model:
 
     def marginals(self, f: Forest) -> np.ndarray:
         """Probability of content of each node."""
-        unary = np.stack([np.zeros(len(f.x)), f.x @ self.weights], 1)
-        return _normal(messages(f, unary, self.pair)[0])[:, 1]
+        unary = np.stack([np.zeros(len(f.parent)), f.score(self.weights)], 1)
+        return _normal(messages(f, unary, self.pair, False)[0])[:, 1]
 
 
 # ---------------------------------------------------------------- labelled pages
@@ -276,16 +323,17 @@ def train(pages: int = TRAIN_PAGES, seed: int = 5) -> Model:
     """Ascends the penalised log-likelihood: observed less expected counts of features and edge states."""
     p, y = training_set(pages, seed)
     f, n = forest(p), len(y)
+    x = f.x
     m = Model(np.zeros(WIDTH), np.zeros((EDGES, 2, 2)))
     s, child = y.astype(int), f.parent >= 0
     seen = np.zeros((EDGES, 2, 2))
     np.add.at(seen, (f.edge[child], s[f.parent[child]], s[child]), 1)
     first, second = [np.zeros(WIDTH), np.zeros_like(seen)], [np.zeros(WIDTH), np.zeros_like(seen)]
     for step in range(1, STEPS + 1):
-        node, joint = messages(f, np.stack([np.zeros(n), f.x @ m.weights], 1), m.pair)
+        node, joint = messages(f, np.stack([np.zeros(n), x @ m.weights], 1), m.pair)
         expected = np.zeros_like(seen)
         np.add.at(expected, f.edge[child], _normal(joint[child]))
-        grads = [f.x.T @ (s - _normal(node)[:, 1]) / n - 1e-4 * m.weights, (seen - expected) / n - 1e-4 * m.pair]
+        grads = [x.T @ (s - _normal(node)[:, 1]) / n - 1e-4 * m.weights, (seen - expected) / n - 1e-4 * m.pair]
         for i, (value, g) in enumerate(zip((m.weights, m.pair), grads)):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
@@ -341,8 +389,13 @@ def _extracted(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, PAGES):
-                part = batch.slice(lo, PAGES)
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            lo, held = 0, 0
+            for i in range(1, batch.num_rows + 1):
+                held += size[i - 1]
+                if i < batch.num_rows and held + size[i] <= BYTES:
+                    continue
+                part, lo, held = batch.slice(lo, i - lo), i, 0
                 rows = extract(part.column(1).to_pylist(), m, threshold)
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["page_id", "text", "runs", "content_runs", "certainty"])
@@ -356,7 +409,7 @@ def extract_html(pages: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     runs counts the text runs outside scripts, styles and comments, content_runs those whose marginal reaches the
     threshold, certainty is the least max(p, 1 - p) of them.  A null page has null text; an empty one, or one without text,
     has empty text, 0 runs and null certainty.  Null ids and repeated rows are kept; an empty table gives an empty result;
-    other columns are ignored.  Tags nested deeper than 200 stay at that depth.
+    other columns are ignored.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model())
     flat = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).cast("string").alias("html"))

@@ -245,9 +245,71 @@ def test_extraction_held_out():
     assert right >= 0.97 * runs
 
 
+def test_extraction_equals_enumeration(spark):
+    """Whole pages: text from marginals by summing over all states, on trees that the standard parser builds."""
+    from html.parser import HTMLParser
+    from itertools import product
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.kinds, self.runs = [0], [None], []
+
+        def handle_starttag(self, tag, attrs):
+            self.kinds.append(tag)
+            self.path.append(len(self.kinds) - 1)
+
+        def handle_endtag(self, tag):
+            self.path.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                self.kinds.append(None)
+                self.runs.append((len(self.kinds) - 1, data.strip()))
+
+    m, r, pages = html_extract.model(), random.Random(8), []
+    for i in range(25):
+        part = lambda: r.choice(["<p>{}</p>", "<div class=ad>{}</div>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<footer>{}</footer>"]).format(prose(r.random(), r.choice([1, 3, 20])))
+        pages.append((i, f"<article>{part()}{part()}</article>{part()}"))
+    got = {x.page_id: x for x in html_extract.extract_html(spark.createDataFrame(pages + pages[:3], "page_id bigint, html string")).collect()}
+    for i, html in pages:
+        tree = Tree()
+        tree.feed(html)
+        p = html_extract.Pages()
+        p.read(html, 0)
+        f = html_extract.forest(p)
+        n, weight = len(f.parent), 0
+        assert n == len(tree.kinds) <= 14
+        for state in product((0, 1), repeat=n):
+            e = sum((f.x[k] @ m.weights) * s for k, s in enumerate(state) if s) + sum(m.pair[f.edge[k], state[f.parent[k]], state[k]] for k in range(1, n))
+            weight = weight + math.exp(e) * np.array([1, *state])
+        prob = weight[1:] / weight[0]
+        assert got[i].text == "\n".join(t for k, t in tree.runs if prob[k] >= 0.5) and got[i].runs == len(tree.runs)
+
+
+def test_extraction_of_hidden_and_self_closed_elements():
+    m = html_extract.model()
+    body = "<p>" + "Some words that are read, and more of them. " * 5 + "</p>"
+    words = body[3:-4].strip()
+    for between in ('<svg class="i"/>', "<svg-icon>", "<style-guide></style-guide>", "<svg><path d='x'>", "<noscript>", "<template/>", '<iframe src="x"/>', "<svg><text>no</text></svg>", "<noscript><p>no</p></noscript>", "<script>if (a < b) no()</script>", "<template><svg>no</svg></template>"):
+        text = html_extract.extract([f"<article>{body}{between}{body}</article>"], m)[0][0]
+        assert text == f"{words}\n{words}", between
+
+
+def test_extraction_of_deep_and_long_pages():
+    m = html_extract.model()
+    tail = "<p>Deep text of some words, that goes on. And on it goes, for a while.</p>"
+    for depth in (150, 205, 400, 5000):
+        assert html_extract.extract(["<div>" * depth + tail + "</div>" * depth], m)[0][0] == tail[3:-4], depth
+    long = "long words. " * 40_000
+    assert html_extract.extract([f"<p>{long}</p>"], m)[0][0] == long.strip()
+
+
 def test_extraction_odd_rows(spark):
-    deep = "<div>" * 3000 + "<p>deep text of some words, that goes on. And on.</p>"
-    rows = [(1, None), (2, ""), (3, "<script>x</script><!-- c -->"), (None, "<p>a"), (5, deep), (6, "<p>" + "long words. " * 40_000), (7, "</div></p><li>x<td>")]
-    got = {x.page_id: x for x in html_extract.extract_html(spark.createDataFrame([(i, h, 1) for i, h in rows], "page_id bigint, html string, runs int")).collect()}
-    assert got[1].text is None and got[2].text == "" and got[3].text == "" and got[3].certainty is None and len(got) == len(rows)
+    deep = "<div>" * 3000 + "<p>deep text of some words, that goes on. And on it goes.</p>"
+    rows = [(1, None), (2, ""), (3, "<script>x</script><!-- c -->"), (None, "<p>a"), (5, deep), (6, "<p>" + "long words. " * 40_000), (7, "</div></p><li>x<td>"), (5, deep), (8, "<script")]
+    every = html_extract.extract_html(spark.createDataFrame([(i, h, 1) for i, h in rows], "page_id bigint, html string, runs int")).collect()
+    got = {x.page_id: x for x in every}
+    assert got[1].text is None and got[2].text == "" and got[3].text == "" and got[3].certainty is None and len(every) == len(rows)
+    assert [x.text for x in every if x.page_id == 5] == ["deep text of some words, that goes on. And on it goes."] * 2 and len(got[6].text) == 12 * 40_000 - 1
     assert html_extract.extract_html(spark.createDataFrame([], "page_id bigint, html string")).count() == 0

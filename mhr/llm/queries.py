@@ -21,7 +21,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC files and read back as the chunked record table; payload as base64, for the comparison."""
     rows = warc.read_chunks(warc.write_warc(table(spark, sf_dir, "pages")))
-    return rows.withColumn("payload_base64", F.translate(F.base64("payload"), "\r\n", "")).drop("payload")
+    return rows.withColumn("payload_base64", F.translate(F.base64("payload"), "\r\n", "")).drop("payload", "path", "range_start", "record_no")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 `write_warc` streams pages into gzip-per-record files in a shared folder; `read_chunks` streams them back as rows
 (record_id, chunk_no, ...) of bounded size, each with the digest of the payload up to its end.  A record is never held
-whole: the reader keeps one chunk and the state of the digest.  Files are read in ranges of records where a manifest names
-them, else whole, by one task a file.
+whole: the reader keeps one chunk and the state of the digest, and headers pass line by line, of any length.  Files are read
+in ranges of records where a manifest names them, else whole, by one task a file.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import shared_dir, stored
 CHUNK, RANGE, READ = 16_384, 8 << 20, 65_536
 
 _MANIFEST = "path string, start bigint, stop bigint, records bigint"
-_ROWS = "record_id string, warc_type string, target_uri string, page_id bigint, chunk_no bigint, offset bigint, n_bytes bigint, payload binary, sha1 string, last boolean, digest_ok boolean, truncated boolean"
+_ROWS = "path string, range_start bigint, record_no bigint, record_id string, warc_type string, target_uri string, page_id bigint, chunk_no bigint, offset bigint, n_bytes bigint, payload binary, sha1 string, last boolean, digest_ok boolean, truncated boolean"
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -87,12 +87,15 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
 
 
 class Inflated:
-    """Bytes of a stream, inflated over gzip members if it is gzip; `limit` is where to stop in the raw stream."""
+    """Bytes of a stream, inflated over gzip members if it is gzip; `limit` is where to stop in the raw stream.
+
+    Where a member is damaged the bytes end (`gap`), until `resume` goes on with the next member.
+    """
 
     def __init__(self, raw: BinaryIO, limit: int | None = None):
-        self.raw, self.left, self.buf, self.done = raw, limit, b"", False
+        self.raw, self.left, self.buf, self.done, self.gap, self.begun = raw, limit, b"", False, False, False
         self.spare = self._read()
-        self.z = zlib.decompressobj(31) if self.spare[:2] == b"\x1f\x8b" else None
+        self.z = zlib.decompressobj(31) if self.spare[:2] == MAGIC[:2] else None
         self.broken = False
 
     def _read(self) -> bytes:
@@ -103,13 +106,13 @@ class Inflated:
         return data
 
     def fill(self) -> bool:
-        """Adds some bytes to buf; False at the end."""
-        while not self.done:
+        """Adds some bytes to buf; False at the end or at a gap."""
+        while not self.done and not self.gap:
             data = self.spare or self._read()
             self.spare = b""
             if not data:
                 self.done = True
-                self.broken = self.z is not None and not self.z.eof and self.z.unused_data == b"" and self._begun
+                self.broken |= self.begun
                 break
             if self.z is None:
                 self.buf += data
@@ -119,69 +122,97 @@ class Inflated:
             try:
                 more = self.z.decompress(data, READ)
             except zlib.error:
-                self.done = self.broken = True
+                self.gap = self.broken = True
+                self.spare = data[1:]
                 break
-            self._begun = not self.z.eof
+            self.begun = not self.z.eof
             self.spare = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
             if more:
                 self.buf += more
                 return True
         return False
 
-    _begun = False
+    def resume(self) -> bool:
+        """Behind a gap, goes to the next place where a gzip member may begin; False at the end."""
+        if not self.gap:
+            return False
+        self.gap = self.broken = self.begun = False
+        while (k := self.spare.find(MAGIC)) < 0:
+            more = self._read()
+            if not more:
+                self.done = True
+                return False
+            self.spare = self.spare[-2:] + more
+        self.spare, self.z = self.spare[k:], zlib.decompressobj(31)
+        return True
+
+    def line(self, most: int | None = None, keep: tuple[bytes, ...] | None = None) -> tuple[bytes, int] | None:
+        """The next line without its end, and the bytes that it takes; None if the bytes end first, or after `most`.
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
-        """Bytes up to and with `mark`; None if it doesn't come within `most` bytes."""
-        while (k := self.buf.find(mark)) < 0:
-            if len(self.buf) > most or not self.fill():
+        With `keep`, of a line that doesn't begin with one of these only a beginning is kept, so that memory is bounded.
+        """
+        held, size, seen = b"", 0, 0
+        while True:
+            k = self.buf.find(b"\n", seen)
+            if most is not None and size + (len(self.buf) if k < 0 else k + 1) > most:
+                k = most - size
+                self.buf = self.buf[k:]
+                return None
+            if k >= 0:
+                line, self.buf = held + self.buf[:k], self.buf[k + 1 :]
+                return line.removesuffix(b"\r"), size + k + 1
+            seen = len(self.buf)
+            if keep is not None and size + len(self.buf) > 64 and not (held + self.buf[:64]).lower().startswith(keep):
+                held, size, seen, self.buf = held or self.buf[:64], size + len(self.buf) - 1, 0, self.buf[-1:]
+            if not self.fill():
                 return None
-        out, self.buf = self.buf[: k + len(mark)], self.buf[k + len(mark) :]
-        return out
 
     def some(self, n: int) -> bytes:
-        """Up to n bytes; empty at the end."""
+        """Up to n bytes; empty at the end or at a gap."""
         if not self.buf:
             self.fill()
         out, self.buf = self.buf[:n], self.buf[n:]
         return out
 
 
-def _fields(head: bytes) -> dict[str, str]:
-    out = {}
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-        name, _, value = line.partition(":")
-        out[name.strip().lower()] = value.strip()
-    return out
+MAGIC = b"\x1f\x8b\x08"
+_NAMED = (b"content-length:", b"content-type:", b"warc-record-id:", b"warc-type:", b"warc-target-uri:", b"warc-page-id:", b"warc-payload-digest:")
+
+
+def _head(src: Inflated) -> dict[str, str] | None:
+    """The named fields of a record's header; None if the bytes end in it."""
+    out: dict[str, str] = {}
+    while (got := src.line(keep=_NAMED)) is not None:
+        if not got[0]:
+            return out
+        if got[0].lower().startswith(_NAMED):
+            name, _, value = got[0].decode("utf-8", "replace").partition(":")
+            out[name.lower()] = value.strip()
+    return None
 
 
 def chunks(src: Inflated, size: int) -> Iterator[tuple]:
-    """Rows of all records of a stream.  Bytes that are no record are passed over up to the next "WARC/"."""
+    """Rows (record_no, ...) of all records of a stream.  Bytes that are no record are passed over up to the next "WARC/" at
+    the beginning of a line or member; a record without a length is told by one row without payload, truncated."""
+    record = -1
     while True:
         while (k := src.buf.find(b"WARC/")) < 0:
             src.buf = src.buf[-4:]
             if not src.fill():
-                return
+                src.buf = b""
+                if not src.resume():
+                    return
         src.buf = src.buf[k:]
-        head = src.until(b"\r\n\r\n")
-        if head is None:
-            if src.done:
-                return
-            src.buf = src.buf[5:]
-            continue
-        f = _fields(head)
-        if not f.get("content-length", "").isdigit():
-            continue
-        left, told = int(f["content-length"]), f.get("warc-payload-digest", "")
-        if f.get("content-type", "").startswith("application/http"):
-            http = src.until(b"\r\n\r\n", min(left, 1 << 20))
-            if http is not None and len(http) <= left:
-                left -= len(http)
-            elif http is not None:
-                src.buf = http + src.buf
+        f, record = _head(src), record + 1
+        broken = f is None or not f.get("content-length", "").isdigit()
+        f = f or {}
+        left, told = 0 if broken else int(f["content-length"]), f.get("warc-payload-digest", "")
+        if left and f.get("content-type", "").startswith("application/http"):
+            left = _without_http(src, left)
         digest, offset, number, held = hashlib.sha1(), 0, 0, bytearray()
         page = f.get("warc-page-id", "")
-        base = (f.get("warc-record-id", "").strip("<>") or None, f.get("warc-type"), f.get("warc-target-uri"), int(page) if page.isdigit() else None)
-        cut = False
+        base = (record, f.get("warc-record-id", "").strip("<>") or None, f.get("warc-type"), f.get("warc-target-uri"), int(page) if page.isdigit() else None)
+        cut = broken
         while True:
             while left and len(held) < size:
                 part = src.some(min(left, size - len(held)))
@@ -192,14 +223,30 @@ def chunks(src: Inflated, size: int) -> Iterator[tuple]:
                 left -= len(part)
             last = cut or not left
             digest.update(held)
-            good = digest.digest() == base64.b32decode(told[5:]) if last and told.startswith("sha1:") and len(told) == 37 else None
-            yield (*base, number, offset, len(held), bytes(held), digest.hexdigest(), last, good, (cut or src.broken) if last else False)
+            good = digest.digest() == base64.b32decode(told[5:]) if last and not broken and told.startswith("sha1:") and len(told) == 37 else None
+            yield (*base, number, offset, len(held), bytes(held), digest.hexdigest(), last, good, cut if last else False)
             offset, number, held = offset + len(held), number + 1, bytearray()
             if last:
                 break
+        if cut and src.gap:
+            src.buf = b""
+            src.resume()
+
+
+def _without_http(src: Inflated, left: int) -> int:
+    """Passes the header of an HTTP message, if there is one, and says how many bytes are left; 0 if all is header."""
+    while len(src.buf) < min(5, left) and src.fill():
+        pass
+    if not src.buf.startswith(b"HTTP/"):
+        return left
+    while left and (got := src.line(left, keep=())) is not None:
+        left -= got[1]
+        if not got[0]:
+            return left
+    return 0
 
 
-_KINDS = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+_KINDS = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
 _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
 
@@ -216,8 +263,8 @@ def _chunked(size: int):
                 with system.open_input_file(name) as raw:
                     raw.seek(start or 0)
                     for row in chunks(Inflated(raw, None if stop is None else stop - (start or 0)), size):
-                        rows.append(row)
-                        held += row[6] + 200
+                        rows.append((path, start or 0, *row))
+                        held += row[7] + 300
                         if held >= 4 << 20:
                             yield out()
                             rows, held = [], 0
@@ -233,11 +280,12 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     Chunk k of a record holds payload bytes offset .. offset + n_bytes - 1 (after the HTTP header in records of http
     messages), sha1 the digest of the payload up to its end.  The last chunk says whether the record's payload digest holds
     (null if it has none) and whether the stream broke off in it.  An empty payload is one chunk of 0 bytes.  Repeated
-    records come as often as they stand; headers that are missing are null; damaged bytes are passed over.
+    records come as often as they stand, told apart by (path, range_start, record_no); headers that are missing are null.
+    Bytes between records are passed over; a record whose length is missing is one empty chunk with `truncated`; behind a
+    damaged gzip member reading goes on with the next one.  Counts the manifest while the result is built.
     """
-    spark = manifest.sparkSession
     n = max(1, manifest.count())
-    return manifest.select("path", "start", "stop").repartition(min(n, 10_000), "path", "start").mapInArrow(_chunked(chunk_bytes), _ROWS) if spark else manifest
+    return manifest.select("path", "start", "stop").repartition(min(n, 10_000), "path", "start").mapInArrow(_chunked(chunk_bytes), _ROWS)
 
 
 def read_warc(spark: SparkSession, paths: list[str], chunk_bytes: int = CHUNK) -> DataFrame:
@@ -246,9 +294,11 @@ def read_warc(spark: SparkSession, paths: list[str], chunk_bytes: int = CHUNK) -
 
 
 def assembled(rows: DataFrame) -> DataFrame:
-    """(record_id, payload BINARY): payloads put together again, for those that need them whole."""
-    parts = F.array_sort(F.collect_list(F.struct("chunk_no", "payload")))
-    return rows.groupBy("record_id").agg(parts.alias("p")).select("record_id", F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["payload"])).alias("payload"))
+    """(record_id, payload BINARY), a row for each record as it stands: payloads put together again, for those that need
+    them whole.  Records that repeat give a row each; a null record_id stays null."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk_no", "payload")))  # the chunks of one record
+    whole = rows.groupBy("path", "range_start", "record_no").agg(F.first("record_id").alias("record_id"), parts.alias("p"))
+    return whole.select("record_id", F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["payload"])).alias("payload"))
 
 
 SQL = f"""

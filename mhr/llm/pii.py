@@ -1,7 +1,10 @@
 """Operator 6: personal data.  High-recall generators propose spans, which may overlap; gradient-boosted trees score each
 by its format and context; Platt-calibrated thresholds by kind select those to redact.
 
-The trees are trained here, on seeded synthetic sentences that hold personal data and look-alikes of it.
+The trees are trained here, on seeded synthetic sentences that hold personal data and look-alikes of it.  The generators
+bound no length but that of what they name (a phone number has at most six groups of digits, an octet three digits, a
+number a digit sequence of eight or more, a secret without a key word 14 characters or more); nothing of fewer than six
+characters is proposed.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,17 +26,18 @@ KINDS = ("EMAIL", "PHONE", "NUMBER", "IP", "SECRET")
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 SAMPLES, RECALL = 6000, 0.998
 
-_HINT = re.compile(r"[0-9@]")
-_KEYED = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|token|secret|api[_ -]?key|access[_ -]?key|credential|bearer)[\w-]{0,12}[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'|,;<>]{6,})", re.I)
+_HINT = re.compile(r"[0-9@]|::")
+_KEYED = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|token|secret|api[_ -]?key|access[_ -]?key|credential|bearer)[\w-]*+[\"']?\s*+[:=]\s*+[\"']?([^\s\"'|,;<>]{6,})", re.I)
 _PREFIXED = re.compile(r"(?<!\w)(?:Bearer |AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-|AIza|eyJ)[\w\-]{12,}")
-_EMAIL = re.compile(r"[\w.+\-]{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63})*\.[^\W\d_]{2,24}")
+_EMAIL = re.compile(r"(?<![\w.+\-])[\w.+\-]++@[\w\-]++(?:\.[\w\-]++)*\.[^\W\d_]{2,}")
 _IP = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")
+_IP6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){7})(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _PHONE = re.compile(r"(?<!\w)(?:\+|00)?\(?\d{1,4}\)?(?:[ .\-/]{0,2}\(?\d{2,5}\)?){1,5}(?!\w)")
-_NUMBER = re.compile(r"(?<!\w)[A-Za-z]{0,2}\d(?:[ \-]?[A-Za-z0-9]?\d){7,30}(?!\w)")
-_SECRET = re.compile(r"(?<![\w])(?=[A-Za-z+/_\-]{0,40}\d)[A-Za-z0-9+/_\-]{14,}={0,2}(?!\w)")
+_NUMBER = re.compile(r"(?<!\w)[A-Za-z]{0,2}\d(?:[ \-]?[A-Za-z]?\d){7,}(?!\w)")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+\d)[A-Za-z0-9+/_\-]{14,}+={0,2}(?!\w)")
 _PHONE_PLAIN = re.compile(r"(?<![\w+])\+?\d{0,3}[ .\-]?(?:\(\d{2,4}\)|\d{3})[ .\-]\d{3,4}[ .\-]?\d{4}(?!\w)")
 _NUMBER_PLAIN = re.compile(r"(?<!\w)\d{12,19}(?!\w)")
-_GENERATORS = ((0, _EMAIL), (3, _IP), (1, _PHONE), (1, _PHONE_PLAIN), (2, _NUMBER), (2, _NUMBER_PLAIN), (4, _SECRET))
+_GENERATORS = ((0, _EMAIL), (3, _IP), (3, _IP6), (1, _PHONE), (1, _PHONE_PLAIN), (2, _NUMBER), (2, _NUMBER_PLAIN), (4, _SECRET))
 _CONTEXT = tuple(
     re.compile(x, re.I)
     for x in (r"pass\w*\W{0,5}$|(?:pwd|token|secret|\w*key|bearer|credential|auth)\W{0,5}$", r"\b(?:phone|tel|call|fax|mobile|cell)\W{0,5}$", r"\b(?:card|iban|account|ssn|visa|passport|credit)\W{0,5}$", r"\b(?:ip|host|server|address)\W{0,5}$", r"\b(?:version|release|v|chapter|section|page|isbn|order|build|commit|sha\d*|rev|doi|item|figure|table|model)\W{0,3}$")
@@ -112,11 +117,13 @@ def _private(r: random.Random) -> tuple[str, str, str]:
         form = r.choice([d(16), d(16), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", d(15), f"{d(3)}-{d(2)}-{d(4)}", f"DE{d(20)}", f"{_of(r, 'ABDEFGNS', 2)}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)}"])
         return r.choice(["", "", "card ", "ssn ", "account "]), form, ""
     if kind == 3:
-        return r.choice(["", "", "ip ", "host ", "from "]), ".".join(str(r.randint(1, 255)) for _ in range(4)), ""
+        six = [_of(r, _HEX, r.randint(1, 4)) for _ in range(8)]
+        short = ":".join(six[: r.randint(1, 3)]) + "::" + ":".join(six[6 : r.randint(7, 8)])
+        return r.choice(["", "", "ip ", "host ", "from "]), ".".join(str(r.randint(1, 255)) for _ in range(4)) if r.random() < 0.8 else r.choice([":".join(six), "2001:db8" + short[4:] if len(short) > 8 else short + "::1"]), ""
     form, key = r.randrange(4), r.choice(["token", "password", "secret", "api_key", "API_KEY", "Password", "access_key"])
     if form == 0:
         return "", "AKIA" + _of(r, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), ""
-    value = r.choice([_of(r, _HEX, r.choice([18, 32, 40])), _of(r, _ALNUM, r.randint(10, 40)), "sk-" + _of(r, _ALNUM, 32), "ghp_" + _of(r, _ALNUM, 36), _word(r).strip(".") + d(3) + "!x"])
+    value = r.choice([_of(r, _HEX, r.choice([18, 32, 40])), _of(r, _ALNUM, r.randint(10, 40)), _of(r, _ALNUM[:52], r.randint(15, 70)) + d(3) + _of(r, _ALNUM, 9), "sk-" + _of(r, _ALNUM, 32), "ghp_" + _of(r, _ALNUM, 36), _word(r).strip(".") + d(3) + "!x"])
     return (f'{key} = "', value, '"') if form == 1 else (f"{key}={r.choice(['', ''])}", value, "") if form == 2 else (f"{key}: ", value, "")
 
 
@@ -126,7 +133,7 @@ def _harmless(r: random.Random) -> tuple[str, str, str]:
         f"{n(1900, 2030)}-{n(10, 12)}-{n(10, 28)}", f"{n(10, 28)}.{n(10, 12)}.{n(1950, 2030)}", f"{n(10, 23)}:{n(10, 59)}:{n(10, 59)}", f"version {n(1, 20)}.{n(0, 20)}.{n(0, 90)}", f"v{n(1, 9)}.{n(0, 20)}.{n(0, 9)}.{n(0, 900)}", f"Version {n(1, 9)}.{n(0, 9)}.",
         f"{n(100, 999)}-{n(100, 999)}", f"{n(1, 999)} {n(100, 999)} {n(100, 999)}", f"{n(1, 999)},{n(100, 999)},{n(100, 999)}", f"{n(1000, 99999)} km", f"{n(1000, 9999)}.{d(2)} EUR", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"page {n(10, 999)}-{n(10, 999)}",
         f"order {d(7)}", f"#{d(6)}", f"{n(1900, 2000)}-{n(2000, 2030)}", f"{n(1900, 2000)}/{n(10, 99)}", f"commit {_of(r, _HEX, 40)}", f"sha256 {_of(r, _HEX, 64)}", f"{_word(r)}{d(2)}", f"@{_word(r)}", f"{d(2)}%", f"{n(1, 99)}.{d(6)}", f"section {n(1, 9)}.{n(1, 9)}.{n(1, 9)}.{n(1, 9)}",
-        f"doi 10.{d(4)}/{d(8)}", f"{_word(r)}-{_word(r)}-{n(1, 9)}-{_word(r)}".replace(".", ""), f"{n(10, 99)} {n(1000, 9999)} {_word(r)}", f"token {_word(r)}{_word(r)}{_word(r)}".replace(".", ""), f"secret {_word(r)}{_word(r)}{_word(r)}", f"password {_word(r)}{_word(r)}{_word(r)}", f"https://{_word(r).strip('.')}.com/{_word(r).strip('.')}/{d(6)}", f"{n(1, 40)} {n(10, 12)} {n(1900, 2030)}",
+        f"doi 10.{d(4)}/{d(8)}", f"{_word(r)}-{_word(r)}-{n(1, 9)}-{_word(r)}".replace(".", ""), f"{n(10, 99)} {n(1000, 9999)} {_word(r)}", f"token {_word(r)}{_word(r)}{_word(r)}".replace(".", ""), f"secret {_word(r)}{_word(r)}{_word(r)}", f"password {_word(r)}{_word(r)}{_word(r)}", f"https://{_word(r).strip('.')}.com/{_word(r).strip('.')}/{d(6)}", f"{n(1, 40)} {n(10, 12)} {n(1900, 2030)}", " ".join(str(n(1, 99)) for _ in range(n(8, 60))), f"{n(1, 9)} {n(10, 99)} {n(1, 9)} {n(10, 99)} {n(1, 9)} {n(10, 99)} {n(100, 999)}",
     ]), ""
 
 
@@ -254,21 +261,19 @@ def spans_of(text: str, t: Trees) -> list[tuple[int, int, str, float]]:
         return []
     p = t.probability(np.array([features(text, *c) for c in found]))
     ranked = sorted((-round(float(q), 6), s - e, s, k) for (s, e, k), q in zip(found, p) if q >= t.threshold[k])
-    taken: list[tuple[int, int, str, float]] = []
+    taken: list[tuple[int, int, str, float]] = []  # apart, in order
     for q, neg, s, k in ranked:
         e = s - neg
-        if all(e <= a or s >= b for a, b, *_ in taken):
-            taken.append((s, e, KINDS[k], -q))
-        else:  # what is left of a chosen span's overlap goes too
-            taken = _widen(taken, s, e)
-    return sorted(taken)
-
-
-def _widen(taken: list, s: int, e: int) -> list:
-    hit = [x for x in taken if s < x[1] and e > x[0]]
-    first = hit[0]
-    grown = (min(s, *(x[0] for x in hit)), max(e, *(x[1] for x in hit)), first[2], first[3])
-    return [x for x in taken if x not in hit] + [grown]
+        i = bisect_left(taken, s, key=lambda x: x[1] - 1)  # the first that ends behind s
+        j = i
+        while j < len(taken) and taken[j][0] < e:
+            j += 1
+        if i == j:
+            taken.insert(i, (s, e, KINDS[k], -q))
+        else:  # what is left of a chosen span's overlap goes too, under the best of those that it touches
+            best = max(taken[i:j], key=lambda x: x[3])
+            taken[i:j] = [(min(s, taken[i][0]), max(e, taken[j - 1][1]), best[2], best[3])]
+    return taken
 
 
 def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:

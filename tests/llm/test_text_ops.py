@@ -111,6 +111,44 @@ def test_pii_recall_and_precision():
     assert hit >= 0.97 * private and false <= 0.05 * lines
 
 
+def test_pii_trees_and_choice_equal_brute_force():
+    """Each candidate's probability by walking the trees, and of chosen spans that touch one that covers all of them."""
+    t, r = pii.model(), random.Random(12)
+    parts = [x for x, _ in pii.sentences(300, seed=41)]
+    for _ in range(40):
+        text = " ".join(r.sample(parts, 8))
+        chosen = {}
+        for s, e, k in pii.candidates(text):
+            x, score = pii.features(text, s, e, k), t.base
+            for f, cut, leaf in zip(t.feature, t.cut, t.leaf):
+                at = 0
+                while at < len(f):
+                    at = 2 * at + (2 if x[f[at]] > cut[at] else 1)
+                score += leaf[at - len(f)]
+            p = 1 / (1 + math.exp(-max(-30, min(30, t.slope * score + t.shift))))
+            if p >= t.threshold[k]:
+                chosen[s, e] = max(p, chosen.get((s, e), 0))
+        groups = []
+        for s, e in sorted(chosen):
+            if groups and s < groups[-1][1]:
+                groups[-1] = (groups[-1][0], max(e, groups[-1][1]))
+            else:
+                groups.append((s, e))
+        got = pii.spans_of(text, t)
+        assert [(s, e) for s, e, *_ in got] == groups
+        assert all(abs(q - max(p for (a, b), p in chosen.items() if a >= s and b <= e)) < 1e-6 for s, e, _, q in got)
+
+
+def test_pii_without_bounds():
+    t = pii.model()
+    long = "abcdefghij" * 6 + "7" + "QwErTy" * 3
+    hidden = lambda text, value: value not in pii.redact(text, pii.spans_of(text, t))
+    assert hidden(f"the token: {long} is here", long) and hidden(f"see {long} now", long)
+    mail = "a" * 90 + "@" + "b" * 70 + ".example.com"
+    assert hidden(f"write to {mail}, please", mail) and hidden("host 2001:db8:85a3::8a2e:370:7334 is up", "2001:db8:85a3::8a2e:370:7334")
+    assert pii.candidates("x" * 200_000 + "@" * 3 + "-1" * 50_000 + "a." * 50_000) is not None  # no more than linear
+
+
 def test_pii_redacts_and_odd_rows(spark):
     rows = [(1, "write to jo.doe@mail.example.com or +1 (212) 555-0188 today"), (2, "version 3.11.2 of 2024-05-06"), (3, None), (4, ""), (None, "x"), (5, "a " * 50_000 + "password=hunter22x9"), (5, "q"), (5, "q")]
     got = pii.redact_pii(docs(spark, rows)).collect()

@@ -1,13 +1,15 @@
 """Operator 4: license scan.  Winnowed fingerprints of license templates stand in an inverted index; a document's word
 k-grams that hit it pick candidate places, and banded sequence alignment there reports the matched coverage and span.
 
-Every k-gram of the document is looked up, not only winnowed ones, so each shared run of K + WINDOW - 1 words is found.
-The index is as large as the templates are: fixed, a few thousand entries.
+Every k-gram of the document is looked up, not only winnowed ones.  A template of L words may have e = (1 - coverage) * L
+words changed, dropped or put in between; each such edit spoils the few fingerprints that cover it, so a place has all the
+others, on diagonals at most e apart.  Places with so many hits are aligned, others can't match: no place within e edits is
+missed, and chance hits of frequent k-grams cost no alignment.  K and the window are chosen for each template so that at
+least one hit is left, down to every single word of very short ones.  The index is as large as the templates are: fixed.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -15,8 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import BYTE, keyed_text, mix, text_chunks, words
+from .license_texts import TEMPLATES
 
-K, WINDOW, COVERAGE = 3, 2, 0.8
+COVERAGE = 0.8
+#: Sizes of k-grams and of winnowing windows, the first that leaves a hit is taken.
+SCHEMES = ((2, 2), (2, 1), (1, 1))
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 _LEXICAL = np.zeros(256, bool)
@@ -24,58 +29,13 @@ _LEXICAL[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 _FOLDED = BYTE.copy()
 _FOLDED[65:91] = BYTE[97:123]
 
-TEMPLATES: dict[str, str] = {
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); "
-    "you may not use this file except in compliance with the License. "
-    "You may obtain a copy of the License at www.apache.org/licenses/LICENSE-2.0. "
-    "Unless required by applicable law or agreed to in writing, "
-    "software distributed under the License is distributed on an AS IS BASIS, "
-    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "MIT-line": "Released under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, "
-    "to any person obtaining a copy of this software "
-    "and associated documentation files, to deal in the Software "
-    "without restriction, including without limitation the rights to use, "
-    "copy, modify, merge, publish, distribute, sublicense, "
-    "and to permit persons to whom the Software is "
-    "furnished to do so, subject to the following conditions: "
-    "The above copyright notice and this permission notice "
-    "shall be included in all copies or substantial portions.",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it "
-    "and or modify it under the terms of the GNU General Public License "
-    "as published by the Free Software Foundation, "
-    "either version 3 of the License, or at your option any later version.",
-    "LGPL-3.0-or-later": "This library is free software: you can redistribute it "
-    "and or modify it under the terms of the GNU Lesser General Public License "
-    "as published by the Free Software Foundation, "
-    "either version 3 of the License, or at your option any later version.",
-    "BSD": "Redistribution and use in source and binary forms, "
-    "with or without modification, are permitted provided "
-    "that the following conditions are met: "
-    "Redistributions of source code must retain the above copyright notice, "
-    "this list of conditions and the following disclaimer.",
-    "ISC": "Permission to use, copy, modify, and or distribute this software "
-    "for any purpose with or without fee is hereby granted, "
-    "provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0": "This Source Code Form is subject to the terms "
-    "of the Mozilla Public License, version 2.0.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons "
-    "Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons "
-    "Attribution 4.0 International License.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
-
 
 def word_hashes(text: str) -> np.ndarray:
     b = np.frombuffer(text.encode(), np.uint8)
     return words(b, np.array([0, len(b)]), _LEXICAL, _FOLDED)[0]
 
 
-def kgrams(h: np.ndarray, k: int = K) -> np.ndarray:
+def kgrams(h: np.ndarray, k: int) -> np.ndarray:
     if len(h) < k:
         return np.empty(0, np.uint64)
     g = h[: len(h) - k + 1].copy()
@@ -84,7 +44,7 @@ def kgrams(h: np.ndarray, k: int = K) -> np.ndarray:
     return g
 
 
-def winnow(g: np.ndarray, window: int = WINDOW) -> list[int]:
+def winnow(g: np.ndarray, window: int) -> list[int]:
     """Places of the least hash of each window, the rightmost of equals; of all if there are fewer than a window."""
     if not len(g):
         return []
@@ -96,18 +56,45 @@ def winnow(g: np.ndarray, window: int = WINDOW) -> list[int]:
 
 
 class Index:
-    """Inverted index of the templates' winnowed fingerprints."""
+    """Inverted index of the templates' winnowed fingerprints, by size of k-gram: sorted keys, and (template, place) of each."""
 
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], coverage: float):
         self.names = sorted(templates)
         self.words = [word_hashes(templates[n]) for n in self.names]
-        posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.edits = [int((1 - coverage) * len(w) + 1e-9) for w in self.words]
+        self.need = np.ones(len(self.names), np.int64)
+        posts: dict[int, list[tuple[int, int, int]]] = {}
         for t, w in enumerate(self.words):
-            g = kgrams(w)
-            for p in winnow(g):
-                posts[int(g[p])].append((t, p))
-        self.keys = np.array(sorted(posts), np.uint64)
-        self.posts = [posts[int(k)] for k in self.keys]
+            for k, window in SCHEMES:
+                g = kgrams(w, k)
+                at = winnow(g, window)
+                spoiled = max((sum(x <= y < x + k for y in at) for x in at), default=0)  # by one edit, at most
+                if len(at) - self.edits[t] * spoiled >= 1:
+                    self.need[t] = len(at) - self.edits[t] * spoiled
+                    break
+            for p in at if len(w) else ():
+                posts.setdefault(k, []).append((int(g[p]), t, p))
+        self.keys, self.lo, self.hi, self.template, self.place = {}, {}, {}, {}, {}
+        for k, rows in posts.items():
+            rows.sort()
+            key = np.array([r[0] for r in rows], np.uint64)
+            self.keys[k] = np.unique(key)
+            self.lo[k], self.hi[k] = np.searchsorted(key, self.keys[k]), np.searchsorted(key, self.keys[k], "right")
+            self.template[k], self.place[k] = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(template, diagonal, place in the template) of all hits of a text's words."""
+        found = []
+        for k, keys in self.keys.items():
+            g = kgrams(h, k)
+            at = np.searchsorted(keys, g)
+            at[at == len(keys)] = 0
+            p = np.flatnonzero(keys[at] == g)
+            n = self.hi[k][at[p]] - self.lo[k][at[p]]
+            first = np.repeat(self.lo[k][at[p]], n)
+            row = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+            found.append((self.template[k][row], np.repeat(p, n) - self.place[k][row], self.place[k][row]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
 
 
 def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int, int, int]:
@@ -147,37 +134,40 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int
     return matches, score, first, last
 
 
-def scan(h: np.ndarray, index: Index, coverage: float, g: np.ndarray | None = None) -> list[tuple[int, float, int, int, int]]:
+def scan(h: np.ndarray, index: Index, coverage: float) -> list[tuple[int, float, int, int, int]]:
     """(template, coverage, matches, first word, last word + 1) of the places in one text, best of those that overlap."""
-    g = kgrams(h) if g is None else g
-    at = np.searchsorted(index.keys, g)
-    at[at == len(index.keys)] = 0
-    hits = np.flatnonzero(index.keys[at] == g)
-    places: dict[int, list[int]] = defaultdict(list)
-    for p in hits:
-        for t, q in index.posts[at[p]]:
-            places[t].append(int(p) - q)
+    template, shift, place = index.hits(h)
+    order = np.lexsort((shift, template))
+    template, shift, place = template[order], shift[order], place[order]
     found = set()
-    for t, shifts in places.items():
-        a = index.words[t]
-        band = max(4, len(a) // 6)
-        shifts.sort()
-        i = 0
-        while i < len(shifts):  # one alignment for hits of near diagonals
-            j = i
-            while j + 1 < len(shifts) and shifts[j + 1] - shifts[i] <= band:
-                j += 1
-            mid = (shifts[i] + shifts[j]) // 2
-            lo, hi = max(0, mid - band), min(len(h), mid + len(a) + band)
-            m, _, first, last = align(a, h[lo:hi], mid - lo, band)
-            if m >= coverage * len(a) - 1e-9:
-                found.add((t, m / len(a), m, lo + first, lo + last))
-            i = j + 1
+    cuts = np.flatnonzero(np.append(True, template[1:] != template[:-1])) if len(template) else np.empty(0, np.int64)
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(template))):
+        t, d = int(template[lo]), shift[lo:hi]
+        a, edits = index.words[t], index.edits[t]
+        upto = np.searchsorted(d, d + edits, "right")
+        many = upto - np.arange(len(d)) >= index.need[t]
+        behind, step = -np.inf, max(1, edits)
+        diagonals, at = np.unique(d, return_index=True)
+        for x, i in zip(diagonals[many[at]].tolist(), at[many[at]]):  # the least diagonal of a place's hits
+            if x <= behind or len(np.unique(place[lo + i : lo + upto[i]])) < index.need[t]:
+                continue
+            behind = x + step  # one alignment for the places that begin up to there: its band holds theirs, edits to either side
+            band = (step + 3 * edits + 1) // 2 + 1
+            mid = x - edits + band
+            first, last = max(0, mid - band), min(len(h), mid + len(a) + band)
+            m, _, start, stop = align(a, h[first:last], mid - first, band)
+            if m and m >= coverage * len(a) - 1e-9:
+                found.add((t, m / len(a), m, first + start, first + stop))
+    return best_of(found, index.names)
+
+
+def best_of(found: set[tuple[int, float, int, int, int]], names: list[str]) -> list[tuple[int, float, int, int, int]]:
+    """Of places that overlap by half of one that is worse, the better alone, in order."""
     out: list[tuple[int, float, int, int, int]] = []
-    for x in sorted(found, key=lambda x: (-x[2], -x[1], x[3], x[0])):
+    for x in sorted(found, key=lambda x: (-x[2], -x[1], x[3], names[x[0]])):
         if all(min(x[4], y[4]) - max(x[3], y[3]) <= 0.5 * (x[4] - x[3]) for y in out):
             out.append(x)
-    return sorted(out, key=lambda x: (x[3], x[0]))
+    return sorted(out, key=lambda x: (x[3], names[x[0]]))
 
 
 def _scanned(shared, coverage: float):
@@ -187,14 +177,20 @@ def _scanned(shared, coverage: float):
             rows = []
             for lo, hi, buf, offs in text_chunks(batch, "text", lower=False):
                 h, starts, ends, ptr = words(buf, offs, _LEXICAL, _FOLDED)
-                g = kgrams(h)
-                at = np.searchsorted(index.keys, g)
-                at[at == len(index.keys)] = 0
-                for i in np.unique(np.searchsorted(ptr, np.flatnonzero(index.keys[at] == g), "right") - 1):
+                touched = np.zeros(len(h), bool)
+                for k, keys in index.keys.items():
+                    g = kgrams(h, k)
+                    at = np.searchsorted(keys, g)
+                    at[at == len(keys)] = 0
+                    touched[: len(g)] |= keys[at] == g
+                chars = None
+                for i in np.unique(np.searchsorted(ptr, np.flatnonzero(touched), "right") - 1):
                     a, b = ptr[i], ptr[i + 1]
                     for t, cov, m, first, last in scan(h[a:b], index, coverage):
-                        char = lambda x: len(buf[offs[i] : x].tobytes().decode())  # noqa: E731, B023
-                        rows.append((batch.column(0)[lo + int(i)].as_py(), index.names[t], round(cov, 6), m, char(starts[a + first]), char(ends[a + last - 1])))
+                        if chars is None:
+                            chars = np.append(0, np.cumsum((buf & 0xC0) != 0x80))  # characters before each byte
+                        start, end = (int(chars[x] - chars[offs[i]]) for x in (starts[a + first], ends[a + last - 1]))
+                        rows.append((batch.column(0)[lo + int(i)].as_py(), index.names[t], round(cov, 6), m, start, end))
             cols = list(zip(*rows)) or [()] * 6
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "license", "coverage", "matched_words", "start", "end"])
@@ -205,21 +201,23 @@ def _scanned(shared, coverage: float):
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, coverage, matched_words, start, end): places where at least `coverage` of a template's words align.
 
+    All are found that have at most (1 - coverage) of the template's words changed, dropped or put in between; others may be.
     start and end are character offsets in the text.  Of places that overlap by half the one with most matched words is
-    reported (ties: higher coverage, earlier, first name).  Null, empty and short texts match nothing; null ids are kept;
+    reported (ties: higher coverage, earlier, first name), so a notice goes under the version that it names.  Null, empty and short texts match nothing; null ids are kept;
     repeated rows report each; an empty table gives an empty result; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, coverage))
     return keyed_text(docs, id_col, text_col).mapInArrow(_scanned(shared, coverage), "doc_id bigint, license string, coverage double, matched_words int, start int, end int")
 
 
-def brute_force(text: str | None, templates: Mapping[str, str], coverage: float = COVERAGE) -> set[tuple[str, int]]:
-    """(license, matched words) by aligning every template with the whole text, without index or band; for tests."""
-    h, out = word_hashes(text or ""), set()
-    for n, t in templates.items():
-        a = word_hashes(t)
+def brute_force(text: str | None, templates: Mapping[str, str], coverage: float = COVERAGE) -> list[tuple[str, int]]:
+    """(license, matched words) by aligning every template with the whole text, without index or band; for tests, of texts
+    where no template stands twice."""
+    h, names, found = word_hashes(text or ""), sorted(templates), set()
+    for i, n in enumerate(names):
+        a = word_hashes(templates[n])
         if len(h):
-            m = align(a, h, 0, max(len(a), len(h)) + 1)[0]
-            if m >= coverage * len(a) - 1e-9:
-                out.add((n, m))
-    return out
+            m, _, first, last = align(a, h, 0, max(len(a), len(h)) + 1)
+            if m and m >= coverage * len(a) - 1e-9:
+                found.add((i, m / len(a), m, first, last))
+    return [(names[x[0]], x[2]) for x in best_of(found, names)]

@@ -73,6 +73,11 @@ def conflicting(v: Column, shift: float) -> Column:
 
 
 def noisy(v: Column, sigma: float, key: Column, share: float = 1.0, seed: int = 3) -> Column:
-    """Uniform noise of +-sigma on a share of the entries, a function of key and place: the same on every retry."""
-    unit = lambda i, s: F.pmod(F.xxhash64(F.lit(s), key, i), F.lit(1_000_003)) / 1_000_003.0
-    return F.transform(doubles(v), lambda x, i: F.when(unit(i, seed) < share, x + (unit(i, seed + 1) * 2 - 1) * sigma).otherwise(x))
+    """Uniform noise of +-sigma on a share of the entries, from MD5 of seed, key and place: the same on every retry, in any engine."""
+
+    def changed(x: Column, i: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), i.cast("string")).cast("binary"))
+        unit = lambda at: F.conv(F.substring(digest, at, 10), 16, 10).cast("bigint") / float(1 << 40)
+        return F.when(unit(1) < share, x + (unit(11) * 2 - 1) * sigma).otherwise(x)
+
+    return F.transform(doubles(v), changed)

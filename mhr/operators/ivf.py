@@ -1,7 +1,9 @@
 """Approximate search: k-means cells, of which each query probes the nearest; the rest is exact.
 
-The index is a table partitioned by cell, so a probe prunes folders.  Centroids are fitted on a bounded sample and are as
-many as `cells`; they alone are broadcast.
+There are about as many cells as the square root of the rows.  Centroids, and how many cells must be probed for a recall,
+are fitted on a bounded sample; centroids alone are broadcast.  The index is a table of blocks of unit vectors, each of one
+cell, written in folders by cell; queries are packed by cell too, so a cell's work is matrix products of its blocks, and a
+large cell is many blocks.
 """
 
 from __future__ import annotations
@@ -10,49 +12,124 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mhr.functions.vectors import cosine
+from .search import _rows, best_of_block, matrix, ranked, unit_rows
 
-from .search import matrix, ranked
+#: Vectors to fit on, at most; k-means steps; sampled queries that set the probes; bounds of the number of cells.
+SAMPLE, STEPS, TRIALS, LEAST, MOST = 20_000, 12, 200, 4, 4096
+BLOCK = 4096
+EF = 64
 
-SAMPLE, STEPS = 20_000, 15
-#: Of vectors that hardly cluster, many cells must be probed for a recall of 0.9.
-CELLS, PROBES = 16, 11
 
+def cells_for(rows: int) -> int:
+    return int(min(MOST, max(LEAST, round(rows**0.5 / 2))))
 
-def centroids(vectors: DataFrame, cells: int, vec: str = "vec", sample: int = SAMPLE, seed: int = 3) -> np.ndarray:
+
+def recall_for(ef: int) -> float:
+    """The recall that a search width asks for: .8, .9, .95 and .975 for ef 32, 64, 128 and 256."""
+    return 1 - 6.4 / max(8, ef)
+
+
+class Cells:
+    """Centroids of a sample, and for each recall how many cells have it there."""
+
+    def __init__(self, sample: np.ndarray, cells: int, seed: int = 3, k: int = 10):
+        x, r = unit_rows(sample), np.random.RandomState(seed)
+        self.centroids = x[r.permutation(len(x))[:cells]]
+        for _ in range(STEPS):
+            at = self.near(x, 1)[:, 0] if len(x) else np.empty(0, np.int64)
+            s = np.zeros_like(self.centroids)
+            np.add.at(s, at, x)
+            n = np.linalg.norm(s, axis=1, keepdims=True)
+            self.centroids = np.where(n > 0, s / np.maximum(n, 1e-12), self.centroids)
+        n = max(1, len(self.centroids))
+        self.found = np.zeros(n)  # share of the k nearest in the i + 1 nearest cells
+        ask = x[r.permutation(len(x))[:TRIALS]]
+        if len(ask):
+            at, order = self.near(x, 1)[:, 0], self.near(ask, n)
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(n)[None, :], 1)
+            best = np.argsort(-(ask @ x.T), axis=1, kind="stable")[:, :k]
+            self.found = np.cumsum(np.bincount(np.take_along_axis(place, at[best], 1).ravel(), minlength=n)) / best.size
+
+    def near(self, x: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(-(x @ self.centroids.T), axis=1, kind="stable")[:, :n]
+
+    def probes(self, recall: float) -> int:
+        """Cells to probe, with a margin of a fiftieth for what the sample doesn't show."""
+        return int(min(len(self.found), 1 + np.searchsorted(self.found, min(1.0, recall + 0.02) - 1e-12)))
+
+
+def fit(vectors: DataFrame, cells: int | None = None, vec: str = "vec", sample: int = SAMPLE, seed: int = 3) -> Cells:
     """Spherical k-means on at most `sample` vectors, those of least hash of their id."""
-    rows = vectors.where(f"{vec} is not null").orderBy(F.xxhash64(F.lit(seed), "doc_num"), "doc_num").limit(sample).select(vec).collect()
-    x = np.array([r[0] for r in rows], float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    c = x[np.random.RandomState(seed).permutation(len(x))[:cells]]
-    for _ in range(STEPS):
-        at = (x @ c.T).argmax(1)
-        s = np.zeros_like(c)
-        np.add.at(s, at, x)
-        n = np.linalg.norm(s, axis=1, keepdims=True)
-        c = np.where(n > 0, s / np.maximum(n, 1e-12), c)
-    return c
-
-
-def assigned(df: DataFrame, c: np.ndarray, probes: int, id_col: str, vec: str = "vec") -> DataFrame:
-    """(id, vec, cell): a row for each of the `probes` nearest cells."""
-    shared = df.sparkSession.sparkContext.broadcast(c)
+    some = vectors.where(f"{vec} is not null and doc_num is not null")
+    rows = some.orderBy(F.xxhash64(F.lit(seed), "doc_num"), "doc_num").limit(sample).select(F.col(vec).cast("array<double>").alias("v"))
+    batches = rows.toArrow().column(0).combine_chunks()
+    return Cells(matrix(batches) if len(batches) else np.empty((0, 1)), cells or cells_for(some.count()), seed)
+
+
+def _packed(cells: Cells, probes: int, side: str):
+    """Blocks (cell, ids, matrix): rows of a batch, each in its `probes` nearest cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = matrix(b.column(1)) @ shared.value.T if b.num_rows else np.zeros((0, len(shared.value)))
-            near = np.argsort(-m, axis=1, kind="stable")[:, :probes]
-            at = pa.array(np.repeat(np.arange(len(m)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.reshape(-1).astype(np.int32))], [id_col, vec, "cell"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                ids, m = np.asarray(part.column(0), np.int64), unit_rows(matrix(part.column(1)))
+                if m.shape[1] != cells.centroids.shape[1]:
+                    raise ValueError(f"vectors have {m.shape[1]} dimensions, the index {cells.centroids.shape[1]}")
+                near = cells.near(m, probes)
+                at, of = np.repeat(np.arange(len(m)), near.shape[1]), near.ravel()
+                order = np.argsort(of, kind="stable")
+                cut = np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1]))
+                groups = np.split(order, cut[1:])
+                yield pa.RecordBatch.from_arrays([pa.array([int(of[g[0]]) for g in groups], pa.int32()), *(pa.array([x[at[g]].tobytes() for g in groups], pa.binary()) for x in (ids, m))], ["cell", f"{side}_ids", f"{side}_m"])
+
+    return run
+
 
-    return df.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vec).cast("array<double>").alias(vec)).dropna().mapInArrow(run, f"{id_col} bigint, {vec} array<double>, cell int")
+def _flat(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).dropna()
 
 
-def search(index: DataFrame, c: np.ndarray, queries: DataFrame, k: int, probes: int, vec: str = "vec") -> DataFrame:
-    """(qid, rank, doc_num, score) by cosine among the probed cells; index: (doc_num, vec, cell), a row a vector."""
-    asked = assigned(queries, c, probes, "qid", vec).withColumnRenamed(vec, "_q")
-    hits = index.join(asked, "cell").select("qid", "doc_num", F.round(cosine(F.col(vec), F.col("_q")), 9).alias("score"))
-    return ranked(hits, ["qid"], k).select("qid", "rank", "doc_num", "score")
+def index(vectors: DataFrame, cells: Cells, vec: str = "vec") -> DataFrame:
+    """(cell, d_ids, d_m) blocks of all vectors.  Null ids and vectors are left out."""
+    if not len(cells.centroids):
+        return vectors.sparkSession.createDataFrame([], "cell int, d_ids binary, d_m binary")
+    return _flat(vectors, "doc_num", vec).mapInArrow(_packed(cells, 1, "d"), "cell int, d_ids binary, d_m binary")
+
+
+def write(vectors: DataFrame, cells: Cells, path: str, vec: str = "vec") -> None:
+    """The index as a table with a folder a cell: a search of few cells reads those alone."""
+    index(vectors, cells, vec).repartition("cell").write.partitionBy("cell").parquet(path)
+
+
+def append(vectors: DataFrame, cells: Cells, path: str, vec: str = "vec") -> None:
+    """More vectors in a written index, their cells by the centroids as they are."""
+    index(vectors, cells, vec).repartition("cell").write.mode("append").partitionBy("cell").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("d_ids binary, d_m binary, cell int").parquet(path)
+
+
+def search(blocks: DataFrame, cells: Cells, queries: DataFrame, k: int, ef: int = EF, probes: int | None = None, vec: str = "vec") -> DataFrame:
+    """(qid, rank, doc_num, score) by cosine among the probed cells: `probes` of them, or as many as the recall of `ef` takes."""
+    spark = queries.sparkSession
+    if not len(cells.centroids):
+        return spark.createDataFrame([], "qid bigint, rank bigint, doc_num bigint, score double")
+    n = min(len(cells.centroids), probes or cells.probes(recall_for(ef)))
+    asked = _flat(queries, "qid", vec).mapInArrow(_packed(cells, n, "q"), "cell int, q_ids binary, q_m binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for di, dm, qi, qm in zip(*(c.to_pylist() for c in batch.columns)):
+                docs, qids = np.frombuffer(di, np.int64), np.frombuffer(qi, np.int64)
+                a, b = np.frombuffer(qm).reshape(len(qids), -1), np.frombuffer(dm).reshape(len(docs), -1)
+                r, own, s = best_of_block(a, b, docs, "cosine", k)
+                yield _rows([(qids[r], own, s)], ["qid", "doc_num", "score"], [np.int64, np.int64, np.float64])
+
+    pairs = blocks.join(asked, "cell").select("d_ids", "d_m", "q_ids", "q_m")
+    return ranked(pairs.mapInArrow(run, "qid bigint, doc_num bigint, score double"), ["qid"], k).select("qid", "rank", "doc_num", "score")

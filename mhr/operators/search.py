@@ -24,61 +24,92 @@ def matrix(col: pa.Array) -> np.ndarray:
     sizes = np.diff(col.offsets.to_numpy())
     if len(sizes) and (sizes != sizes[0]).any():
         raise ValueError("vectors of one head differ in dimension")
-    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
+    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), int(sizes[0]) if len(sizes) else 0)
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.where(n > 1e-12, m / np.maximum(n, 1e-300), 0.0)
 
 
 def packed(df: DataFrame, id_col: str, heads: Sequence[str], metric: str, side: str) -> DataFrame:
-    """(ids, one matrix a head, as bytes) for each block; rows with a null id or vector are left out."""
+    """Blocks of rows: ids, and for head number i the places of the rows that have it and their matrix, as bytes.
+
+    Rows with a null id are left out; a head's null vectors are left out of that head alone.
+    """
+    names = [f"{side}_ids", *(f"{side}{i}_{x}" for i in range(len(heads)) for x in ("at", "m"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(lo, BLOCK)
-                mats = []
+                cells = [np.asarray(part.column(0), np.int64)]
                 for c in part.columns[1:]:
-                    m = matrix(c)
-                    if metric == "cosine":
-                        n = np.linalg.norm(m, axis=1, keepdims=True)
-                        m = np.where(n > 1e-12, m / np.maximum(n, 1e-300), 0.0)
-                    mats.append(m.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column(0), np.int64).tobytes()], pa.binary()), *(pa.array([m], pa.binary()) for m in mats)], [f"{side}_ids", *(f"{side}_{h}" for h in heads)])
-
-    flat = df.select(F.col(id_col).cast("bigint").alias("id"), *[F.col(h).cast("array<double>").alias(h) for h in heads]).dropna()
-    return flat.mapInArrow(run, ", ".join([f"{side}_ids binary", *(f"{side}_{h} binary" for h in heads)]))
+                    at = np.flatnonzero(np.asarray(c.is_valid()))
+                    m = matrix(c.take(pa.array(at)))
+                    cells += [at.astype(np.int32), unit_rows(m) if metric == "cosine" else m]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cells], names)
+
+    flat = df.select(F.col(id_col).cast("bigint").alias("id"), *[F.col(h).cast("array<double>").alias(f"h{i}") for i, h in enumerate(heads)]).where("id is not null")
+    return flat.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+
+
+def best_of_block(a: np.ndarray, b: np.ndarray, own: np.ndarray, metric: str, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, id of b, score) of what may be among the m best of each row of a, of the rows of b with the ids `own`."""
+    order = np.argsort(own, kind="stable")
+    b, own = b[order], own[order]
+    s = a @ b.T
+    if metric == "l2":
+        s = -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * s, 0))
+    else:
+        s = np.round(np.clip(s, -1, 1) if metric == "cosine" else s, 9) + 0.0
+    r, c = kept(s, m, metric == "l2")
+    if metric == "l2":
+        s = np.round(-np.concatenate([np.linalg.norm(a[r[i : i + 65_536]] - b[c[i : i + 65_536]], axis=1) for i in range(0, len(r), 65_536)] or [np.empty(0)]), 9) + 0.0
+        return r, own[c], s
+    return r, own[c], s[r, c]
+
+
+def kept(s: np.ndarray, m: int, loose: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the m best of each row, columns being in order of ids: every score above the m-th, and of its ties the first.
+    loose: all that may be, as products cancel for near vectors."""
+    if s.shape[1] <= m:
+        return np.nonzero(np.ones(s.shape, bool))
+    floor = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
+    if loose:
+        return np.nonzero(s >= floor - 1e-6)
+    above, tie = s > floor, s == floor
+    return np.nonzero(above | (tie & (np.cumsum(tie, 1) <= m - above.sum(1, keepdims=True))))
+
+
+def _blocks(batch: pa.RecordBatch, row: int, side: str, heads: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    get = lambda name, kind: np.frombuffer(batch.column(batch.schema.get_field_index(name))[row].as_py(), kind)
+    mats = []
+    for i in range(heads):
+        at = get(f"{side}{i}_at", np.int32)
+        m = get(f"{side}{i}_m", np.float64)
+        mats.append((at, m.reshape(len(at), len(m) // max(1, len(at)))))
+    return get(f"{side}_ids", np.int64), mats
+
+
+def _rows(parts: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0)] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(k), pa.from_numpy_dtype(k)) for c, k in zip(cols, kinds)], names)
 
 
 def _products(heads: Sequence[str], metric: str, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                get = lambda name, kind: np.frombuffer(batch.column(batch.schema.get_field_index(name))[row].as_py(), kind)  # noqa: E731, B023
-                docs, qids = get("d_ids", np.int64), get("q_ids", np.int64)
+                (docs, d), (qids, q) = (_blocks(batch, row, side, len(heads)) for side in "dq")
                 for number, h in enumerate(heads):
-                    a, b = get(f"q_{h}", np.float64).reshape(len(qids), -1), get(f"d_{h}", np.float64).reshape(len(docs), -1)
+                    (qa, a), (da, b) = q[number], d[number]
+                    if not len(qa) or not len(da):
+                        continue
                     if a.shape[1] != b.shape[1]:
                         raise ValueError(f"head {h}: a query has {a.shape[1]} dimensions, a document {b.shape[1]}")
-                    s = a @ b.T
-                    if metric == "l2":
-                        s = -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * s, 0))
-                    elif metric == "cosine":
-                        s = np.clip(s, -1, 1)
-                    order = np.argsort(docs, kind="stable")
-                    s, own = s[:, order], docs[order]
-                    if metric != "l2":
-                        s = np.round(s, 9) + 0.0
-                    if metric == "l2" and len(own) > m:  # products cancel for near vectors: keep what may be among the m best
-                        keep = s >= -np.partition(-s, m - 1, axis=1)[:, m - 1 : m] - 1e-6
-                    elif len(own) > m:  # every score above the m-th is kept, and of its ties those of least id
-                        floor = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
-                        above, tie = s > floor, s == floor
-                        keep = above | (tie & (np.cumsum(tie, 1) <= m - above.sum(1, keepdims=True)))
-                    else:
-                        keep = np.ones(s.shape, bool)
-                    r, c = np.nonzero(keep)
-                    if metric == "l2":
-                        exact = np.concatenate([np.linalg.norm(a[r[i : i + 65_536]] - b[order[c[i : i + 65_536]]], axis=1) for i in range(0, len(r), 65_536)] or [np.empty(0)])
-                        s[r, c] = np.round(-exact, 9) + 0.0
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(np.full(len(r), number, np.int32)), pa.array(own[c]), pa.array(s[r, c])], ["qid", "h", "doc_num", "score"])
+                    r, own, s = best_of_block(a, b, docs[da], metric, m)
+                    yield _rows([(qids[qa[r]], np.full(len(r), number), own, s)], ["qid", "h", "doc_num", "score"], [np.int64, np.int32, np.int64, np.float64])
 
     return run
 
@@ -92,7 +123,8 @@ def ranked(df: DataFrame, by: Sequence[str], m: int | None, score: str = "score"
 def head_lists(vectors: DataFrame, queries: DataFrame, heads: Sequence[str], m: int, metric: str = "cosine", doc_col: str = "doc_num", query_id: str = "qid") -> DataFrame:
     """(qid, head, doc_num, score, rank): the m best of each head for each query; either table has a column a head.
 
-    All heads are scored in one pass.  Null ids and vectors are left out, a zero vector scores 0, unequal dimensions raise.
+    All heads are scored in one pass.  Null ids are left out, null vectors of their head alone, a zero vector scores 0, unequal
+    dimensions raise.
     """
     if metric not in METRICS:
         raise ValueError(f"similarity must be one of {METRICS}")
@@ -138,20 +170,38 @@ def weight_of(head: Column, weights: dict[str, float], default: float = 1.0) ->
 
 
 def ground_truth(vectors: DataFrame, queries: DataFrame, heads: Sequence[str], k: int = 100) -> DataFrame:
-    """Mean cosine over heads of every document, a missing head counting 0; the k best.
+    """Mean cosine over heads of every document, a head that either side lacks counting 0; the k best.
 
-    The mean of cosines is one dot product of the concatenated unit vectors, so heads need no join of their own.
+    The heads' products of a block are summed before the best are taken, so heads need no join of their own.
     """
-    from mhr.functions.vectors import normalised
-
-    def joined(df: DataFrame, key: str) -> DataFrame:
-        parts = [F.coalesce(normalised(F.col(h)), F.array_repeat(F.lit(0.0), F.lit(0))) for h in heads]
-        return df.select(key, F.concat(*parts).alias("vec"))
 
-    found = head_lists(joined(vectors, "doc_num"), joined(queries, "qid"), ["vec"], k, "dot_product")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (docs, d), (qids, q) = (_blocks(batch, row, side, len(heads)) for side in "dq")
+                s = np.zeros((len(qids), len(docs)))
+                for h, (qa, a), (da, b) in zip(heads, q, d):
+                    if len(qa) and len(da) and a.shape[1] != b.shape[1]:
+                        raise ValueError(f"head {h}: a query has {a.shape[1]} dimensions, a document {b.shape[1]}")
+                    if len(qa) and len(da):
+                        s[np.ix_(qa, da)] += a @ b.T
+                order = np.argsort(docs, kind="stable")
+                s = np.round(s[:, order], 9) + 0.0
+                r, c = kept(s, k)
+                yield _rows([(qids[r], docs[order][c], s[r, c])], ["qid", "doc_num", "score"], [np.int64, np.int64, np.float64])
+
+    pairs = packed(vectors, "doc_num", heads, "cosine", "d").crossJoin(packed(queries, "qid", heads, "cosine", "q"))
+    found = ranked(pairs.mapInArrow(run, "qid bigint, doc_num bigint, score double"), ["qid"], k)
     return found.select("qid", "rank", "doc_num", F.round(F.col("score") / len(heads), 9).alias("score"))
 
 
+def same_ranking(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (same BOOLEAN): whether two rankings (qid, rank, doc_num) are identical, as a single head's must be, fused or not."""
+    left, right = (x.select("qid", "rank", F.col("doc_num").alias(n)) for x, n in ((a, "da"), (b, "db")))
+    apart = left.join(right, ["qid", "rank"], "full").where(~F.col("da").eqNullSafe(F.col("db")))
+    return apart.agg((F.count("*") == 0).alias("same"))
+
+
 def page(results: DataFrame, offset: int, size: int) -> DataFrame:
     """Rows offset + 1 .. offset + size of each ranking, and whether there are more (one row more is looked at)."""
     most = F.max("rank").over(Window.partitionBy("qid"))

@@ -12,6 +12,7 @@ from mhr.functions import vectors as V
 from mhr.functions.text import STOP_WORDS, words_with_positions
 from mhr.operators import bm25, fusion, ivf, learn, metrics, search, shard
 from mhr.sources import store
+from mhr.sources.shared import new_path
 from mhr.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +104,20 @@ def attend_min_weight(spark, sf):
     return shown(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS, weights=WEIGHTS, min_weight=0.25))
 
 
+def gappy(df: DataFrame, key: str) -> DataFrame:
+    """Every third row without the temporal head, every fifth without the semantic one."""
+    return df.withColumn("temporal", F.when(F.col(key) % 3 > 0, F.col("temporal"))).withColumn("semantic", F.when(F.col(key) % 5 > 0, F.col("semantic")))
+
+
+GAPPY = "NOT (head = 'temporal' AND doc_num % 3 = 0) AND NOT (head = 'semantic' AND doc_num % 5 = 0)"
+
+
+@query(attend_sql("1.0 / 3", GAPPY))
+def attend_documents_without_heads(spark, sf):
+    """A document that lacks a head is still found by the others."""
+    return shown(fusion.attend(gappy(wide(spark, sf), "doc_num"), asking(spark, sf), HEADS))
+
+
 @query(attend_sql("1.0 / 4"))
 def attend_missing_head(spark, sf):
     """A head that isn't there keeps its share of the uniform weight to itself."""
@@ -207,6 +222,12 @@ def gt_uniform(spark, sf):
     return shown(search.ground_truth(wide(spark, sf), asking(spark, sf), HEADS))
 
 
+@query(f"""{V_SQL}, s AS (SELECT qid, doc_num, round(round(sum(CASE WHEN {GAPPY} THEN list_cosine_similarity(qv, vec) ELSE 0 END), 9) / 3, 9) AS score FROM q, hv GROUP BY ALL)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, round(score, 9) AS score FROM s QUALIFY rank <= 100""")
+def gt_documents_without_heads(spark, sf):
+    return shown(search.ground_truth(gappy(wide(spark, sf), "doc_num"), asking(spark, sf), HEADS))
+
+
 @query(f"""{knn_sql(COS2, 10).split(',' + chr(10) + 'r AS')[0]}, h AS (SELECT *, doc_num % 3 AS shard FROM s QUALIFY row_number() OVER (PARTITION BY shard, qid ORDER BY score DESC, doc_num) <= 10),
 r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, score FROM h QUALIFY rank <= 10)
 {OUT}""")
@@ -219,12 +240,38 @@ def scatter_gather(spark, sf):
     return shown(shard.scatter_gather(hits, 10))
 
 
+def written_cells(spark, sf):
+    """The index of all vectors, written by cell and read back, and its centroids."""
+    docs = plain(spark, sf, "doc_num")
+    cells, path = ivf.fit(docs), new_path(spark, "ivf")
+    ivf.write(docs, cells, path)
+    return ivf.read(spark, path), cells
+
+
 @query()
 def knn_ivf(spark, sf):
-    """Approximate: rows only; a test holds its recall above 0.9."""
-    docs = plain(spark, sf, "doc_num")
-    c = ivf.centroids(docs, ivf.CELLS)
-    return shown(ivf.search(ivf.assigned(docs, c, 1, "doc_num"), c, plain(spark, sf, "qid"), 10, ivf.PROBES))
+    """Approximate, at the default width; knn_ivf_recall holds it against exact search."""
+    blocks, cells = written_cells(spark, sf)
+    return shown(ivf.search(blocks, cells, plain(spark, sf, "qid"), 10))
+
+
+@query(f"{knn_sql(COS2)}\n{OUT}")
+def knn_ivf_all_cells(spark, sf):
+    """Every cell probed: exact search by way of the index."""
+    blocks, cells = written_cells(spark, sf)
+    return shown(ivf.search(blocks, cells, plain(spark, sf, "qid"), 10, probes=len(cells.centroids)))
+
+
+@query("SELECT ef, (SELECT count(*) FROM embeddings) AS queries, true AS reached FROM (VALUES (32), (64), (128)) t(ef)")
+def knn_ivf_recall(spark, sf):
+    """Whether the mean recall of the ten nearest reaches what each search width promises (.8, .9, .95)."""
+    blocks, cells = written_cells(spark, sf)
+    exact, out = search.knn(plain(spark, sf, "doc_num"), plain(spark, sf, "qid"), 10), None
+    for ef in (32, 64, 128):
+        near = ivf.search(blocks, cells, plain(spark, sf, "qid"), 10, ef).select("qid", "doc_num", F.lit(1).alias("hit"))
+        one = exact.join(near, ["qid", "doc_num"], "left").agg(F.countDistinct("qid").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= F.count("*") * ivf.recall_for(ef)).alias("reached")).select(F.lit(ef).alias("ef"), "queries", "reached")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---------------------------------------------------------------- fusion on its own
@@ -323,9 +370,12 @@ def conflicting_head(spark, sf):
     return shown(fusion.attend(wide(spark, sf).withColumn("temporal", V.conflicting(F.col("temporal"), 0.1)), asking(spark, sf), HEADS))
 
 
-@query()
+NOISE = "('0x' || substr(md5('3:' || vec_id || ':' || (i - 1)), {}, 10))::BIGINT / 1099511627776.0::DOUBLE"
+
+
+@query(attend_sql("1.0 / 3").replace("list_reverse(embedding)::DOUBLE[]", f"list_transform(list_reverse(embedding)::DOUBLE[], lambda x, i: CASE WHEN {NOISE.format(1)} < 0.2 THEN x + ({NOISE.format(11)} * 2 - 1) * 0.5 ELSE x END)"))
 def corrupted_head(spark, sf):
-    """Noise on a fifth of the temporal head's entries (seeded by hash: no SQL twin)."""
+    """Noise on a fifth of the temporal head's entries, seeded by digests of id and place."""
     return shown(fusion.attend(wide(spark, sf).withColumn("temporal", V.noisy(F.col("temporal"), 0.5, F.col("doc_num"), 0.2)), asking(spark, sf), HEADS))
 
 

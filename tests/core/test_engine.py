@@ -49,13 +49,32 @@ def test_knn_equals_numpy_with_ties_and_odd_rows(spark, monkeypatch):
         search.knn(docs, spark.createDataFrame([(1, [1.0])], "qid bigint, vec array<double>"), 3).count()
 
 
-def test_ivf_recall(spark):
+def test_lists_and_ground_truth_without_heads(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0], None), (2, None, [0.0, 1.0]), (3, None, None), (4, [1.0, 1.0], [1.0, 0.0])], "doc_num bigint, a array<double>, b array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0], [0.0, 1.0])], "qid bigint, a array<double>, b array<double>")
+    got = {(r["head"], r.doc_num): r.score for r in search.head_lists(docs, q, ["a", "b"], 5).collect()}
+    assert got == {("a", 1): 1.0, ("a", 4): pytest.approx(0.5**0.5), ("b", 2): 1.0, ("b", 4): 0.0}
+    truth = {r.doc_num: r.score for r in search.ground_truth(docs, q, ["a", "b"]).collect()}
+    assert truth == {1: 0.5, 2: 0.5, 4: pytest.approx(0.5**1.5), 3: 0.0}
+
+
+def test_ivf_index(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     docs, qs = (e.select(F.col("vec_id").alias(k), F.col("embedding").alias("vec")) for k in ("doc_num", "qid"))
-    c = ivf.centroids(docs, ivf.CELLS)
-    near = ivf.search(ivf.assigned(docs, c, 1, "doc_num"), c, qs, 10, ivf.PROBES)
+    cells = ivf.fit(docs)
     exact = search.knn(docs, qs, 10)
-    assert near.join(exact, ["qid", "doc_num"]).count() >= 0.9 * exact.count()
+    pairs = lambda df: {(r.qid, r.rank, r.doc_num) for r in df.collect()}
+    for ef in (32, 64, 128):
+        near = ivf.search(ivf.index(docs, cells), cells, qs, 10, ef)
+        assert near.join(exact, ["qid", "doc_num"]).count() >= ivf.recall_for(ef) * exact.count()
+    ivf.write(docs.where("doc_num < 300"), cells, str(tmp_path / "i"))
+    ivf.append(docs.where("doc_num >= 300"), cells, str(tmp_path / "i"))
+    whole = ivf.search(ivf.read(spark, str(tmp_path / "i")), cells, qs, 10, probes=10**6)
+    assert pairs(whole) == pairs(exact) and ivf.cells_for(10**9) == ivf.MOST
+    none = ivf.fit(docs.limit(0))
+    assert ivf.search(ivf.index(docs.limit(0), none), none, qs, 3).count() == 0
+    with pytest.raises(Exception, match="dimensions"):
+        ivf.search(ivf.index(docs, cells), cells, spark.createDataFrame([(1, [1.0])], "qid bigint, vec array<double>"), 3).count()
 
 
 def test_vector_text_and_projection(spark):

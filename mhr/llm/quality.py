@@ -63,20 +63,26 @@ def index_entries(b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def neighbour_sums(b: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets that occur, sums): the index vectors of tokens within WINDOW of each, a neighbour at distance d weighing WINDOW // d."""
-    seen, local = np.unique(b, return_inverse=True)
-    doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    at, near, weight = [], [], []
-    for d in range(1, WINDOW + 1):
-        left = np.flatnonzero(doc[d:] == doc[: len(b) - d]) if len(b) > d else np.empty(0, np.int64)
-        at += [left, left + d]
-        near += [left + d, left]
-        weight.append(np.full(2 * len(left), WINDOW // d))
-    at, near, weight = np.concatenate(at), np.concatenate(near), np.concatenate(weight)
-    out = np.zeros(len(seen) * WIDTH)
+    if not len(b):
+        return b, np.zeros((0, WIDTH), np.int64)
+    order = np.argsort(b, kind="stable")
+    edge = np.flatnonzero(np.append(True, b[order][1:] != b[order][:-1]))
+    seen = b[order][edge]
+    index = np.zeros((len(seen), WIDTH), np.int16)
     for k in range(NONZERO):
         column, sign = index_entries(seen, k)
-        out += np.bincount(local[at] * WIDTH + column[local[near]], sign[local[near]] * weight, len(out))
-    return seen, out.reshape(-1, WIDTH).astype(np.int64)
+        index[np.arange(len(seen)), column] += sign.astype(np.int16)
+    local = np.empty(len(b), np.int64)
+    local[order] = np.repeat(np.arange(len(seen)), np.diff(np.append(edge, len(b))))
+    at = np.arange(len(b)) + WINDOW * (1 + np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)))  # WINDOW blanks between texts
+    x = np.zeros((at[-1] + 1 + WINDOW, WIDTH), np.int16)
+    x[at] = index[local]
+    around = np.zeros_like(x)
+    for d in range(1, WINDOW + 1):
+        w = np.int16(WINDOW // d)
+        around[d:] += x[:-d] * w
+        around[:-d] += x[d:] * w
+    return seen, np.add.reduceat(around[at[order]], edge, axis=0, dtype=np.int64)
 
 
 def _summed(buckets: int):

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,22 +21,36 @@ def position(key: Column) -> Column:
 
 
 def route(keys: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """(key, shard): the first point at or after the key's place, round the end.  The ring is small metadata (its rows are
-    counted and bounded), so it is a literal array searched per row, and keys are never shuffled."""
-    found = sorted((r.point, r.shard) for r in points.collect())
-    if len(found) > 1_000_000:
+    """(key, shard): the first point at or after the key's place, round the end.
+
+    The ring is small metadata: its points are counted first, a million at most, then broadcast sorted; keys aren't shuffled.
+    """
+    if points.count() > 1_000_000:
         raise ValueError("a ring of more than a million points")
-    at, shard = [p for p, _ in found], [s for _, s in found]
-    shared = keys.sparkSession.sparkContext.broadcast((at, shard))
+    found = sorted((r.point, r.shard) for r in points.collect())
+    shared = keys.sparkSession.sparkContext.broadcast((np.array([p for p, _ in found], np.int64), np.array([s for _, s in found], np.int64)))
 
     @F.pandas_udf("bigint")
     def of(places):
-        a, s = shared.value
-        return places.map(lambda x: s[bisect_left(a, x) % len(a)], na_action="ignore")
+        at, shard = shared.value
+        known = places.notna()
+        out = places.astype("object")
+        out[known] = shard[np.searchsorted(at, places[known].to_numpy(np.int64)) % len(at)]
+        return out
 
     return keys.select(key, of(position(F.col(key).cast("string"))).alias("shard"))
 
 
+def assign(shards: DataFrame, shard: int, head: str) -> DataFrame:
+    """Shards (shard, heads) with `head` added to one of them, once."""
+    return shards.withColumn("heads", F.when(F.col("shard") == shard, F.array_union("heads", F.array(F.lit(head)))).otherwise(F.col("heads")))
+
+
+def unassign(shards: DataFrame, shard: int) -> DataFrame:
+    """Shards without one of them."""
+    return shards.where(F.col("shard") != shard)
+
+
 def shards_of_head(shards: DataFrame, head: str) -> DataFrame:
     """Shards (shard, heads) that hold a head."""
     return shards.where(F.array_contains("heads", head)).select("shard")

@@ -405,8 +405,8 @@ nd AS (SELECT qid, phrase, count(*) AS need FROM ph GROUP BY ALL),
 mt AS (SELECT DISTINCT qid, phrase, doc_num FROM (SELECT qid, phrase, doc_num, pos - "off" AS start, count(DISTINCT "off") AS got FROM t JOIN ph USING (term) GROUP BY ALL) JOIN nd USING (qid, phrase) WHERE got = need)"""
 
 
-def corpus_tokens(spark, sf, stem=False):
-    return bm25.tokens(table(spark, sf, "documents"), stem)
+def corpus_tokens(spark, sf):
+    return bm25.tokens(table(spark, sf, "documents"))
 
 
 def asked_tokens(spark, sf, stem=False):
@@ -422,20 +422,20 @@ def asked_phrases(spark, sf):
 
 @query(f"{TOK}{ASKED},\n{BM25},\nx AS (SELECT qid, doc_num, round(score, 9) AS score FROM sc)\nSELECT qid, rank, doc_num, round(score, 9) AS score FROM ({RANK10})")
 def bm25_search(spark, sf):
-    return shown(bm25.search(corpus_tokens(spark, sf), asked_tokens(spark, sf)))
+    return shown(bm25.search(table(spark, sf, "documents"), asked_tokens(spark, sf)))
 
 
 @query()
 def bm25_search_stemmed(spark, sf):
     """With the engine's stemmer, which SQL lacks."""
-    return shown(bm25.search(corpus_tokens(spark, sf, True), asked_tokens(spark, sf, True)))
+    return shown(bm25.search(table(spark, sf, "documents"), asked_tokens(spark, sf, True), stem=True))
 
 
 @query(f"""{TOK}{ASKED},\n{BM25},\n{PHRASES},
 x AS (SELECT qid, doc_num, round(coalesce(sc.score, 0) + coalesce(b.bonus, 0), 9) AS score FROM sc FULL JOIN (SELECT qid, doc_num, count(*) * 2.0::DOUBLE AS bonus FROM mt GROUP BY ALL) b USING (qid, doc_num))
 SELECT qid, rank, doc_num, round(score, 9) AS score FROM ({RANK10})""")
 def bm25_phrase_bonus(spark, sf):
-    return shown(bm25.search_with_phrases(corpus_tokens(spark, sf), asked_tokens(spark, sf), asked_phrases(spark, sf)))
+    return shown(bm25.search_with_phrases(table(spark, sf, "documents"), asked_tokens(spark, sf), asked_phrases(spark, sf)))
 
 
 @query(f"""WITH {tokens_sql('t', 'documents', 'doc_num')},\n{PHRASES},
@@ -444,7 +444,7 @@ a AS (SELECT qid, phrase, term, count(*) AS weight FROM ph GROUP BY ALL),
 y AS (SELECT qid, phrase, doc_num, round(score, 9) AS score FROM sc SEMI JOIN mt USING (qid, phrase, doc_num))
 SELECT qid, phrase::BIGINT AS phrase, row_number() OVER (PARTITION BY qid, phrase ORDER BY score DESC, doc_num) AS rank, doc_num, round(score, 9) AS score FROM y QUALIFY rank <= 10""")
 def bm25_search_phrase(spark, sf):
-    return shown(bm25.search_phrase(corpus_tokens(spark, sf), asked_phrases(spark, sf)))
+    return shown(bm25.search_phrase(table(spark, sf, "documents"), asked_phrases(spark, sf)))
 
 
 @query(f"WITH {tokens_sql('t', 'documents', 'doc_num')} SELECT count(DISTINCT doc_num) AS docs, (SELECT count(*) FROM (SELECT DISTINCT term, doc_num FROM t)) AS postings, round(count(*)::DOUBLE / count(DISTINCT doc_num), 6) AS mean_length, count(DISTINCT term) AS terms FROM t")
@@ -467,7 +467,7 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS
 def attend_hybrid(spark, sf):
     """Query i has vector i and benchmark text i; those without a text are dense alone."""
     dense = fusion.attend(wide(spark, sf), asking(spark, sf), HEADS, 50)
-    return shown(fusion.attend_hybrid(dense, bm25.search(corpus_tokens(spark, sf), asked_tokens(spark, sf), 50)))
+    return shown(fusion.attend_hybrid(dense, bm25.search(table(spark, sf, "documents"), asked_tokens(spark, sf), 50)))
 
 
 # ---------------------------------------------------------------- store
@@ -601,7 +601,7 @@ SELECT a.event_type AS a, b.event_type AS b, round((a.x - b.x) / sqrt(a.v / a.n
 
 @query(WELCH)
 def welch_tests(spark, sf):
-    return metrics.welch(table(spark, sf, "events"), "value", "event_type")
+    return metrics.welch(table(spark, sf, "events"), "value", "event_type").drop("p")
 
 
 @query("""WITH t AS (SELECT user_id, exp(-avg(value) / 10) AS p FROM events GROUP BY user_id), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, user_id) AS r FROM t),

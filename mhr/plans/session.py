@@ -171,7 +171,7 @@ class Engine:
         hits = fusion.fuse(lists, w, want if text is None else fusion.fetch_count(want))
         if text is not None:
             docs = self.documents(name).select(F.col("doc_num").alias("doc_id"), store.searchable_text().alias("text"))
-            sparse = bm25.search(bm25.tokens(docs, stem=True), bm25.tokens(self.spark.createDataFrame([(0, text)], "doc_id bigint, text string"), stem=True).withColumnRenamed("doc_num", "qid"), fusion.fetch_count(want))
+            sparse = bm25.search(docs, bm25.tokens(self.spark.createDataFrame([(0, text)], "doc_id bigint, text string"), stem=True).withColumnRenamed("doc_num", "qid"), fusion.fetch_count(want), stem=True)
             hits = fusion.attend_hybrid(hits, sparse, want)
         from mhr.operators.search import page
 

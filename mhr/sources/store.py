@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 LOG = "seq bigint, op string, key string, ts bigint, payload string, crc bigint"
 
 
@@ -74,21 +76,14 @@ def compact(files: Sequence[DataFrame] | DataFrame) -> tuple[DataFrame, DataFram
 def with_numbers(ids: DataFrame, known: DataFrame | None = None, id_col: str = "id", order: str = "seq") -> DataFrame:
     """(id, doc_num): known numbers stay, new ids get the next ones in order of first insertion.
 
-    Numbers come from counts of range partitions, so no task sees all ids.
+    Numbers come from counts of range partitions, so no task sees all ids.  Runs jobs while the result is built.
     """
     new = ids.groupBy(id_col).agg(F.min(order).alias("_o"))
     start = 0
     if known is not None:
         new = new.join(known.select(id_col), id_col, "left_anti")
         start = known.agg(F.max("doc_num")).first()[0] or 0
-    placed = new.repartitionByRange(F.col("_o"), F.col(id_col)).sortWithinPartitions("_o", id_col).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    sizes = dict(placed.groupBy("_p").count().collect())  # one row a partition
-    before, total = {}, start
-    for p in sorted(sizes):
-        before[p] = total
-        total += sizes[p]
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_p")) if before else F.lit(0)
-    out = placed.select(id_col, (base + F.col("_i") + 1).cast("bigint").alias("doc_num"))
+    out = numbered(new, "_o", id_col).select(id_col, (F.col("_n") + start + 1).alias("doc_num"))
     return out if known is None else known.select(id_col, "doc_num").unionByName(out)
 
 

@@ -26,8 +26,8 @@ WIDTH, NONZERO, WINDOW, HIDDEN, THRESHOLD = 32, 6, 2, 24, 0.5
 #: Buckets of tokens: SPREAD * sqrt(rows), as a vocabulary grows, as a power of two between these; the broadcast is 64 bytes each.
 SPREAD, LEAST, MOST = 512, 1 << 14, 1 << 20
 PRIOR = 12.0
-#: Tokens worked on at a time; buckets of a block of sums that is sent.
-BLOCK, PART = 1 << 17, 1 << 12
+#: Tokens and bytes of text worked on at a time, to bound memory; buckets of a block of sums that is sent.
+BLOCK, BYTES, PART = 1 << 15, 1 << 18, 1 << 12
 
 _LEXICAL = np.zeros(256, bool)
 _LEXICAL[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -43,8 +43,8 @@ def tokens(buf: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.ndarray,
     w, ws, we, wp = words(buf, offs, _LEXICAL, _FOLDED)
     s, ss, _, _ = words(buf, offs, _SYMBOL)
     bucket = lambda h: (h % np.uint64(buckets - 2)).astype(np.int64) + 2
-    upper = np.append(0, np.cumsum((buf >= 65) & (buf <= 90)))
-    lower = np.append(0, np.cumsum((buf >= 97) & (buf <= 122)))
+    upper = np.append(0, np.cumsum((buf >= 65) & (buf <= 90), dtype=np.int32))
+    lower = np.append(0, np.cumsum((buf >= 97) & (buf <= 122), dtype=np.int32))
     caps = (upper[we] - upper[ws] >= 2) & (lower[we] == lower[ws])
     again = np.zeros(len(w), bool)
     again[1:] = w[1:] == w[:-1]
@@ -89,9 +89,9 @@ def _summed(buckets: int):
     """Blocks of PART buckets' sums over the texts of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((buckets, WIDTH), np.int64)
+        total = np.zeros((buckets, WIDTH), np.int32)
         for batch in batches:
-            for _, _, buf, offs in text_chunks(batch, "text", lower=False):
+            for _, _, buf, offs in text_chunks(batch, "text", BYTES, False):
                 b, ptr = tokens(buf, offs, buckets)
                 lo, n = 0, len(ptr) - 1
                 while lo < n:  # as many texts as have about BLOCK tokens; of a longer one a block at a time, with WINDOW tokens of the next
@@ -108,8 +108,9 @@ def _summed(buckets: int):
                                 seen, sums = neighbour_sums(own[BLOCK:], np.array([0, len(own) - BLOCK]))
                                 total[seen] -= sums
                     lo = hi
-        parts = [i for i in range(0, buckets, PART) if total[i : i + PART].any()]
-        yield _blocks(parts, [total[i : i + PART] for i in parts])
+        for i in range(0, buckets, PART):
+            if total[i : i + PART].any():
+                yield _blocks([i], [total[i : i + PART]])
 
     return run
 
@@ -118,12 +119,13 @@ def _blocks(parts: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums], pa.binary())], ["part", "sums"])
 
 
+#: Sums of a task are whole numbers of 32 bits, the merged ones of 64.
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(zlib.decompress(data), np.int64)
-            total[part] = total[part] + x if part in total else x
+            x = np.frombuffer(zlib.decompress(data), np.int32)
+            total[part] = total[part] + x if part in total else x.astype(np.int64)
     yield _blocks(list(total), list(total.values()))
 
 
@@ -240,7 +242,7 @@ def _score(shared):
         for batch in batches:
             p = np.ones(batch.num_rows)
             if m is not None:
-                for lo, hi, buf, offs in text_chunks(batch, "text", lower=False):
+                for lo, hi, buf, offs in text_chunks(batch, "text", BYTES, False):
                     b, ptr = tokens(buf, offs, len(m.vectors))
                     p[lo:hi] = np.where(np.diff(ptr) > 0, m.probability(pooled(m.vectors, m.prior, b, ptr)), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(p, 6)), *batch.columns[2:]], ["doc_id", "p_good", *batch.schema.names[2:]])

@@ -1,71 +1,23 @@
-"""Shared plumbing: shared-folder tables, Arrow text buffers and vectorised word hashing."""
+"""Shared plumbing: Arrow text buffers and vectorised word hashing."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mhr.sources.shared import shared_dir, stored  # noqa: F401 - the operators take them from here
+
 #: The SQL twin of `words`: split on it after lower(), and drop empty strings.
 WORD_SPLIT = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 SEED = 20_240_117
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named and the master is this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="mhr-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    atexit.register(_remove_local, own)
-    return own
-
-
-def _remove_local(uri: str) -> None:
-    import shutil
-
-    shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
-
-
-_written: list[str] = []
-
-
-@atexit.register
-def _forget() -> None:
-    """Delete what this driver stored, while its session still lives."""
-    from pyspark import SparkContext
-
-    sc = SparkContext._active_spark_context
-    if sc is None or sc._jsc is None:
-        return
-    try:
-        for path in _written:
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the JVM has gone: the cluster clears its folder
-        return
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write `df` once into the shared folder and read it back: cuts lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mhr/{what}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (doc_id BIGINT, text STRING); every other column, whatever its name, is left out."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -149,11 +101,32 @@ def words(buf: np.ndarray, offs: np.ndarray, member: np.ndarray = _WORD, table:
     if not n:
         z = np.empty(0, np.int64)
         return np.empty(0, np.uint64), z, z, np.zeros(len(offs), np.int64)
+    parts, lo = [], 0
+    while lo < n:  # a piece at a time, cut where no word is, to bound memory in long texts
+        hi = min(n, lo + PIECE)
+        while hi < n and member[buf[hi - 1]] and member[buf[hi]]:
+            rest = np.flatnonzero(~member[buf[hi : hi + PIECE]])
+            hi = min(n, hi + (int(rest[0]) + 1 if len(rest) else PIECE))
+        a, b = np.searchsorted(offs, (lo, hi), "left")
+        h, starts, ends = _piece(buf[lo:hi], offs[a:b] - lo, member, table)
+        parts.append((h, starts + lo, ends + lo))
+        lo = hi
+    h, starts, ends = (np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+    return h, starts, ends, np.searchsorted(starts, offs)
+
+
+#: Bytes that `words` looks at together.
+PIECE = 1 << 20
+
+
+def _piece(buf: np.ndarray, cuts: np.ndarray, member: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of a piece, in which texts begin at `cuts`."""
+    n = len(buf)
     on = member[buf]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = on[:-1]
-    inner = offs[(offs > 0) & (offs < n)]
+    inner = cuts[(cuts > 0) & (cuts < n)]
     before[inner] = False
     after = np.empty(n, bool)
     after[-1] = False
@@ -164,8 +137,7 @@ def words(buf: np.ndarray, offs: np.ndarray, member: np.ndarray = _WORD, table:
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(table[buf] * up[:n], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * down[starts])
-    return h, starts, ends, np.searchsorted(starts, offs)
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
 def text_chunks(batch: pa.RecordBatch, name: str, limit: int = 1 << 20, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -53,3 +53,28 @@ def test_pipeline(spark, tmp_path):
         got[x.doc_id] = got.get(x.doc_id, 0) + x.n_tokens
     assert got == {i: words[i] for i in mixed if words[i]}
     assert {tuple(x) for x in p.run(spark, str(tmp_path)).select("doc_id", "bin_id", "slot").collect()} == {(x.doc_id, x.bin_id, x.slot) for x in docs.collect()}
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """No rows; no labels; repeated rows and columns that clash with the operators' own."""
+    empty, bare, odd = (tmp_path / x for x in ("empty", "bare", "odd"))
+    labels = "doc_id bigint, quality int, toxic int"
+    spark.createDataFrame([], SCHEMA).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], labels).write.parquet(str(empty / "labels.parquet"))
+    assert p.run(spark, str(empty)).count() == 0
+    rows = corpus()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(bare / "documents.parquet"))
+    spark.createDataFrame([], labels).write.parquet(str(bare / "labels.parquet"))
+    docs = spark.read.parquet(str(bare / "documents.parquet"))
+    assert p.good_quality(spark, docs, str(bare)).count() == len(rows)
+    clash = ", node bigint, size int, len int, key string, p_good double, _row int, copies int, budget int"
+    again = [(*r, 1, 2, 3, "k", 0.5, 6, 7, 8) for r in rows[:30] + rows[:10] + [(None, *rows[0][1:]), rows[240]]]
+    spark.createDataFrame(again, SCHEMA + clash).write.parquet(str(odd / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 6 != 5), 0) for i in range(30)], labels).write.parquet(str(odd / "labels.parquet"))
+    docs = spark.read.parquet(str(odd / "documents.parquet"))
+    columns, ids = docs.columns, {}
+    for name, stage in p.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(odd)), f"t-{name}")
+        assert docs.columns == columns and (not docs.count() or docs.where("size = 2 and budget = 8").count() == docs.count())
+        ids[name] = [x.doc_id for x in docs.select("doc_id").collect()]
+    assert len(set(ids["near_duplicates"])) == len(ids["near_duplicates"]) and 0 in ids["near_duplicates"] and None in ids["near_duplicates"]

@@ -35,6 +35,14 @@ def weighted_fuse(lists: DataFrame, weights: dict[str, float], k: int | None = N
     return fuse(lists, weight_of(F.col("head"), weights), k)
 
 
+def fuse_by_best(lists: DataFrame, weights: dict[str, float], k: int | None = None) -> DataFrame:
+    """(qid, rank, doc_num, score): weighted sums over heads, as shares of the query's best sum where that is above zero."""
+    summed = lists.groupBy("qid", "doc_num").agg(F.sum(F.col("score") * weight_of(F.col("head"), weights)).alias("s"))
+    top = F.max("s").over(Window.partitionBy("qid"))
+    shared = summed.withColumn("score", F.round(F.when(top > 0, F.try_divide("s", top)).otherwise(F.col("s")), 9))
+    return ranked(shared, ["qid"], k).select("qid", "rank", "doc_num", "score")
+
+
 def reciprocal_rank_fusion(lists: DataFrame, k: int | None = None, constant: int = 0) -> DataFrame:
     """Sums of 1 / (constant + rank) over lists (qid, head, doc_num, rank)."""
     return fuse(lists.withColumn("score", 1.0 / (F.col("rank") + constant)), F.lit(1.0), k)

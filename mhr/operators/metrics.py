@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from mhr.functions.vectors import euclidean
 from mhr.sources.shared import numbered, stored
@@ -132,7 +133,7 @@ def moments(samples: DataFrame, value: str, *by: str) -> DataFrame:
     return samples.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_values(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t; null where either is."""
     return pd.Series([None if pd.isna(x) or pd.isna(d) else t_p_value(float(x), float(d)) for x, d in zip(t, df)], dtype="float64")

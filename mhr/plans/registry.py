@@ -646,3 +646,6 @@ def saturation(spark, sf):
     t = table(spark, sf, "events").groupBy(F.col("user_id").alias("concurrency")).agg(F.avg("value").alias("qps"))
     best = t.agg(F.max_by(F.struct("concurrency", "qps"), F.struct("qps", -F.col("concurrency"))).alias("r"))
     return best.select("r.concurrency", F.round("r.qps", 6).alias("qps"))
+
+
+from . import engine_queries  # noqa: E402, F401 - registers more

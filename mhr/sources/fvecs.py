@@ -42,6 +42,20 @@ def read_fvecs(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return starts.mapInArrow(run, "doc_num bigint, vec array<float>")
 
 
+def write_fvecs(vectors: DataFrame, path: str) -> int:
+    """One file of all vectors in order of doc_num, written by the driver a part at a time; their number.  For benchmark files."""
+    from .store import _fs
+
+    fs, p = _fs(vectors.sparkSession, path)
+    out, n = fs.create(p, False), 0
+    for row in vectors.orderBy("doc_num").select("vec").toLocalIterator():
+        v = np.asarray(row[0], "<f4")
+        out.write(bytearray(np.int32(len(v)).astype("<i4").tobytes() + v.tobytes()))
+        n += 1
+    out.close()
+    return n
+
+
 def split(vectors: DataFrame, share: float = 0.1, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """(base, queries) by a seeded hash of the id."""
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_num"), F.lit(1_000_003)) / 1_000_003.0

@@ -194,3 +194,161 @@ def test_statistics(spark):
     mean, low, high = metrics.confidence_interval(x, "v")
     boot = metrics.bootstrap_interval(x, "v", 300).first()
     assert mean == 50.5 and low < mean < high and math.isclose(boot.low, low, abs_tol=2) and math.isclose(boot.high, high, abs_tol=2)
+
+
+def test_engine_heads_settings_and_filters(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    e.create_collection("c", 4)
+    rows = [(i, {"title": f"t{i}", "a_vector": str([1.0, i / 10, 0.0, 0.0]), **({"b_vector": str([0.0, 1.0, i / 10, 0.0])} if i % 2 else {})}) for i in range(8)]
+    e.insert_table("c", spark.createDataFrame(rows, "doc_num bigint, fields map<string,string>"))
+    with pytest.raises(ValueError, match="dimension"):
+        e.insert_table("c", spark.createDataFrame([(9, {"a_vector": "[1]"})], "doc_num bigint, fields map<string,string>"))
+    with pytest.raises(ValueError, match="no id"):
+        e.insert_table("c", spark.createDataFrame([(None, {"a_vector": "[1,2,3,4]"})], "doc_num bigint, fields map<string,string>"))
+    assert e.documents("c").count() == 8
+    found = {r.doc_num for r in e.search("c", [0.0, 1.0, 0.0, 0.0], where="doc_num % 4 = 1").collect()}
+    assert found == {1, 5}
+    near = e.search("c", [1.0, 0.2, 0.0, 0.0], ["a"], approximate=True, top_k=3)
+    assert [r.doc_num for r in near.collect()] == [r.doc_num for r in e.search("c", [1.0, 0.2, 0.0, 0.0], ["a"], top_k=3).collect()]
+    e.remove_head("c", "b")
+    assert e.list_heads("c") == ["a"]
+    with pytest.raises(ValueError, match="no heads"):
+        e.search("c", [1.0] * 4, ["b"])
+    e.add_head("c", "b", weight=0.5)
+    e.insert_vector("c", "fresh", 3, [0.0, 0.0, 0.0, 1.0])
+    assert e.list_heads("c") == ["a", "b", "fresh"]
+    assert e.search("c", [0.0, 0.0, 0.0, 1.0], ["fresh"]).first().doc_num == 3
+    assert e.is_persistent() and e.flush() is None and e.health()["ready"] and not Engine(spark, str(tmp_path / "none")).health()["ready"]
+
+
+def test_engine_commits(spark, tmp_path):
+    """Two writers share no number; an unfinished commit is neither read nor compacted over; a broken-off compaction loses nothing."""
+    a, b = Engine(spark, str(tmp_path / "db")), Engine(spark, str(tmp_path / "db"))
+    a.create_collection("c", 2)
+    doc = lambda t: {"title": t, "x_vector": "[1, 2]"}
+    a.insert("c", {1: doc("first")})
+    b.insert("c", {1: doc("second"), 2: doc("other")})
+    held = store.claim(spark, a._path("c", "claims"))  # a writer that has claimed a number and not written yet
+    a.insert("c", {3: doc("third")})
+    titles = lambda: {r.doc_num: r.fields["title"] for r in a.documents("c").collect()}
+    assert titles() == {1: "second", 2: "other", 3: "third"} and held == 3
+    assert a.compact("c") == 2 and titles() == {1: "second", 2: "other", 3: "third"}  # up to the number that isn't finished
+    log = store.log_rows(spark.createDataFrame([("4", str({}).replace("'", '"'), 0)], "key string, payload string, n bigint"), F.col("n"), F.lit("insert"), F.col("key"), F.lit(0), F.lit('{"title": "late", "x_vector": "[1, 2]"}'))
+    log.withColumn("commit", F.lit(held).cast("bigint")).write.parquet(a._path("c", f"docs/commit-{held:012}"))
+    assert titles()[4] == "late" and a.compact("c") == 4 and len(titles()) == 4
+    (tmp_path / "db" / "c" / "docs" / "base-000000000099").mkdir()  # a compaction that broke off
+    assert len(titles()) == 4
+
+
+def test_block_cache_and_table_checksum(spark, tmp_path):
+    c = store.BlockCache(lambda k: k.encode() * 10, capacity=3)
+    for k in "abcadbb":
+        c.get(k)
+    assert (c.hits, c.misses, c.evictions) == (2, 5, 2) and list(c.blocks) == ["a", "d", "b"] and c.used == 30
+    small = store.BlockCache(lambda k: bytes(100), budget=250)
+    for k in "abcd":
+        small.get(k)
+    assert small.evictions == 2 and small.used == 200
+
+
+def test_quantiles_of_skewed_groups(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "ACCURACY", 200)  # the sketch narrows
+    r = np.random.RandomState(4)
+    x = np.concatenate([np.round(r.exponential(10, 9000), 3), np.full(6000, 2.0), r.randn(40)])
+    rows = [(None if i % 3 == 0 else "b", float(v)) for i, v in enumerate(x)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for nearest in (False, True):
+        got = {(row.g, row.q): row.x for row in metrics.quantiles(df, "v", [0.0, 0.31, 0.5, 0.999, 1.0], "g", nearest=nearest).collect()}
+        for g, mine in ((None, x[::3]), ("b", np.delete(x, np.arange(0, len(x), 3)))):
+            for q in (0.0, 0.31, 0.5, 0.999, 1.0):
+                want = np.sort(mine)[int(np.floor(q * (len(mine) - 1) + 0.5))] if nearest else np.quantile(mine, q)
+                assert got[g, q] == pytest.approx(want), (g, q)
+        assert ("c", 0.5) not in got
+
+
+def test_corrected_tests_and_resampling(spark):
+    r = np.random.RandomState(6)
+    rows = [(s, float(v)) for s, m in (("a", 0.0), ("b", 0.1), ("c", 2.0)) for v in r.randn(300) + m]
+    df = spark.createDataFrame(rows, "s string, v double")
+    got = {x.b: x for x in metrics.compare_to_all(df, "v", "s", "a").collect()}
+    assert set(got) == {"b", "c"} and got["c"].rejected and got["c"].p < 1e-6 and got["b"].q >= got["b"].p
+    p = np.sort(r.rand(500))
+    tests = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "k bigint, p double")
+    q = np.minimum.accumulate(np.minimum(1, p * 500 / np.arange(1, 501))[::-1])[::-1]
+    assert np.allclose([x.q for x in metrics.benjamini_hochberg(tests, "p", "k").orderBy("k").collect()], q, atol=2e-9)
+    d = metrics.bootstrap_difference(df.where("s = 'c'"), df.where("s = 'a'"), "v", 300).first()
+    assert d.low < d.difference < d.high and 0.05 < d.std_error < 0.12
+    one = spark.createDataFrame([(i, 0.4 * i, 0.2 * i) for i in range(3)], "qid bigint, g double, u double")
+    eff = metrics.gating_efficiency(one.select("qid", F.col("g").alias("ndcg")), one.select("qid", F.col("u").alias("ndcg")))
+    assert [x.efficiency for x in eff.orderBy("qid").collect()] == [0.0, 1.0, 1.0]
+
+
+def test_numbers_without_gaps(spark):
+    ids = spark.range(5000).select((F.col("id") % 4000).cast("string").alias("id"), (F.col("id") % 7).alias("seq"))
+    first = store.with_numbers(ids)
+    assert sorted(r.doc_num for r in first.collect()) == list(range(1, 4001))
+    more = store.with_numbers(spark.createDataFrame([("new", 1), ("5", 9)], "id string, seq bigint"), first)
+    assert {r.id: r.doc_num for r in more.where("id in ('new', '5')").collect()}["new"] == 4001 and more.count() == 4001
+
+
+def test_workload_runs(spark, tmp_path):
+    from mhr.operators import workload as w
+
+    c = w.Checkpoint(spark, str(tmp_path / "runs"))
+    assert c.done() == []
+    c.save(w.Checkpoint.name("mhr", "sift", 2000, "easy"))
+    c.save("two")
+    c.save("two")
+    assert w.Checkpoint(spark, str(tmp_path / "runs")).done() == ["mhr/sift/2000@easy", "two"]
+    c.clear()
+    assert c.done() == []
+    calls = []
+    report = w.warm_up(lambda: calls.append(1), 60, 1e9)
+    assert report["runs"] == len(calls) == 16
+    w.verify_count(spark.range(3), 3)
+    with pytest.raises(ValueError):
+        w.verify_count(spark.range(3), 0)
+    (tmp_path / "c.toml").write_text("dimension = 64\nef = [10]\n")
+    assert w.config(str(tmp_path / "c.toml"), queries=500)["dimension"] == 64
+    for bad in ({"dimension": 8}, {"experiments": ["x"]}, {"colour": 1}):
+        with pytest.raises(ValueError):
+            w.config(**bad)
+
+
+def test_words_of_arrow_batches_equal_expressions(spark):
+    """The vectorised words, with places and hashes, are those of the JVM's expressions."""
+    import pyarrow as pa
+
+    from mhr.functions.text import code_of, cut_words, words_with_positions
+
+    texts = ["", "  One, two -- THREE!  ", "\u00c9t\u00e9 \u201cquoted\u201d \u2014 na\u00efve\u2026", "a\tb\nc", None, "--a--b-- ... x", "\u00bfQu\u00e9? 42%", "x " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    want = sorted((r.id, r.pos, r.term) for r in words_with_positions(df, F.col("text"), "id").collect())
+    got = []
+    for lo, _, buf, starts, ends, row, place in cut_words(pa.array(texts)):
+        got += [(lo + int(r), int(p), buf[s:e].tobytes().decode()) for r, p, s, e in zip(row, place, starts, ends)]
+    assert sorted(got) == want
+    from mhr.functions.text import word_codes
+
+    data = np.frombuffer("zwei drei".encode(), np.uint8)
+    assert word_codes(data, np.array([0, 5]), np.array([4, 9])).tolist() == [code_of("zwei"), code_of("drei")]
+
+
+def test_reports(spark, tmp_path):
+    from mhr.sources import sinks
+
+    rows = [{"system": "a_b", "x": 0.5}, {"system": "c", "x": None}]
+    text = sinks.latex(rows, {"system": "System", "x": "R"}, "Caption", "tab:x")
+    assert r"a\_b & 0.500 \\" in text and "c & $-$" in text and sinks.plain(rows, ["system", "x"]).splitlines()[1] == "a_b     0.500"
+
+
+def test_translation_errors(spark):
+    from mhr.operators import translate
+
+    df = spark.createDataFrame([(1, None, None, None)], "id bigint, semantic array<double>, temporal array<double>, structural array<double>")
+    for run in (lambda: translate.single(df, "id").collect(), lambda: translate.concatenated(df, "id").collect()):
+        with pytest.raises(Exception, match="no "):
+            run()
+    assert translate.per_head(df.withColumn("enabled", F.array(F.lit("semantic"))), "id").count() == 0
+    with pytest.raises(ValueError):
+        translate.validate("other", translate.Capabilities())

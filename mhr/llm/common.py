@@ -29,7 +29,7 @@ def n_words(text: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("bigint")
 
 
-# ---------------------------------------------------------------- hashing
+# ---- hashing
 
 _M64 = (1 << 64) - 1
 

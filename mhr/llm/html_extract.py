@@ -240,7 +240,7 @@ class Model:
         return _normal(messages(f, unary, self.pair, False)[0])[:, 1]
 
 
-# ---------------------------------------------------------------- labelled pages
+# ---- labelled pages
 
 
 def labelled_page(r: random.Random) -> tuple[str, list[bool]]:
@@ -350,7 +350,7 @@ def model() -> Model:
     return _trained[0]
 
 
-# ---------------------------------------------------------------- extraction
+# ---- extraction
 
 
 def extract(pages: list[str | None], m: Model, threshold: float = THRESHOLD) -> list[tuple[str | None, int, int, float | None]]:

@@ -289,7 +289,7 @@ def parse(data: bytes | None) -> Audio:
     return out
 
 
-# ---------------------------------------------------------------- streams from a seed
+# ---- streams from a seed
 
 
 @dataclass(frozen=True)

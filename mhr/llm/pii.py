@@ -83,7 +83,7 @@ def features(text: str, start: int, end: int, kind: int) -> list[float]:
     ]
 
 
-# ---------------------------------------------------------------- training sentences
+# ---- training sentences
 
 _VOWEL, _CONSONANT = "aeiou", "bcdfghklmnprstvz"
 
@@ -155,7 +155,7 @@ def sentences(count: int = SAMPLES, seed: int = 11) -> Iterator[tuple[str, list[
         yield text, [(at, at + len(value))] if private else []
 
 
-# ---------------------------------------------------------------- boosted trees
+# ---- boosted trees
 
 
 @dataclass
@@ -251,7 +251,7 @@ def model(seed: int = 11) -> Trees:
     return _trained[seed]
 
 
-# ---------------------------------------------------------------- redaction
+# ---- redaction
 
 
 def spans_of(text: str, t: Trees) -> list[tuple[int, int, str, float]]:

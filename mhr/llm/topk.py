@@ -138,6 +138,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_
     Statistics cover all documents with a word.  Documents without a query term are never listed; null ids and null or
     wordless texts are left out on both sides; repeated rows are documents of their own, and a repeated query id has the
     texts of its rows joined.  Empty tables give an empty result; other columns are ignored.
+
+    Made for up to some ten thousand queries: each QUERIES of them take a pass over the corpus, their texts are collected and
+    their terms broadcast, and a task sends k rows a query.  Runs jobs while the result is built.
     """
     spark = docs.sparkSession
     asked = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(query_text).cast("string").alias("t")).where("q is not null and t is not null")

@@ -22,7 +22,7 @@ def prose(seed, n=40):
     return " ".join(f"word{r.randrange(500)}" for _ in range(n))
 
 
-# ---------------------------------------------------------------- licenses
+# ---- licenses
 
 
 def test_licenses_found_with_spans(spark):
@@ -85,7 +85,7 @@ def test_licenses_ties_and_clashing_columns(spark):
     assert [(x.license, x.start, x.end, x.matched_words) for x in got] == [("a", 0, 16, 3)]
 
 
-# ---------------------------------------------------------------- top-k
+# ---- top-k
 
 
 def brute_top_k(rows, queries, k):
@@ -124,7 +124,7 @@ def test_top_k_odd_rows(spark):
     assert topk.top_k(docs(spark, []), q).count() == 0 and topk.top_k(docs(spark, [(1, "aa")]), q.where("false")).count() == 0
 
 
-# ---------------------------------------------------------------- personal data
+# ---- personal data
 
 
 def test_pii_recall_and_precision():
@@ -186,7 +186,7 @@ def test_pii_redacts_and_odd_rows(spark):
     assert pii.redact_pii(docs(spark, [])).count() == 0
 
 
-# ---------------------------------------------------------------- quality
+# ---- quality
 
 
 def labelled(n, seed):
@@ -278,7 +278,7 @@ def test_pooling_in_blocks(monkeypatch):
     assert np.allclose(whole, quality.pooled(v, np.zeros(quality.WIDTH), b, ptr), atol=1e-4)
 
 
-# ---------------------------------------------------------------- HTML
+# ---- HTML
 
 
 def test_marginals_equal_enumeration():

@@ -37,7 +37,7 @@ def words_with_positions(df: DataFrame, text: Column, *keep: Column | str) -> Da
     return df.where(text.isNotNull()).select(*keep, F.posexplode(word_array(text)).alias("pos", "term")).where("term <> ''")
 
 
-# ---------------------------------------------------------------- words of Arrow batches
+# ---- words of Arrow batches
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -130,7 +130,7 @@ def _trimmed(word: bytes) -> tuple[int, int]:
     return len(text[: good[0]].encode()), len(text[good[0] : good[-1] + 1].encode())
 
 
-# ---------------------------------------------------------------- stemmer
+# ---- stemmer
 
 _V = "aeiou"
 

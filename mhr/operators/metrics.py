@@ -263,7 +263,7 @@ def aggregate_quality(runs: DataFrame, measures: Sequence[str], level: float = 0
     return aggregate(long, "x", "measure", level=level).join(boot, "measure")
 
 
-# ---------------------------------------------------------------- distributions (driver, plain Python)
+# ---- distributions (driver, plain Python)
 
 
 def _beta_cf(a: float, b: float, x: float) -> float:

@@ -128,7 +128,7 @@ def failed_queries(queries: DataFrame, failure: Failure | None, key: str = "qid"
     return queries.withColumn(failure.head, noisy(F.col(failure.head), failure.amount, F.col(key)))
 
 
-# ---------------------------------------------------------------- runs
+# ---- runs
 
 
 def protocol(n_docs: int, full: int = 30, builds: int = 5, sessions: int = 6, query_only: int = 30) -> dict:

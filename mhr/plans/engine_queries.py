@@ -15,7 +15,7 @@ from . import lang
 from .registry import COS2, HEADS, OUT, V_SQL, asking, attend_sql, by_label, event_log, fused_sql, gappy, knn_sql, lists_sql, plain, query, raw_lists, shown, table, wide
 from .session import Engine
 
-# ---------------------------------------------------------------- collections
+# ---- collections
 
 
 def written(vec):
@@ -254,7 +254,7 @@ def attend_plans(spark, sf):
     return spark.createDataFrame(out, "top_k int, ef int, candidates int, semantic double, temporal double")
 
 
-# ---------------------------------------------------------------- vectors and files
+# ---- vectors and files
 
 
 def long_heads(spark, sf) -> DataFrame:
@@ -358,7 +358,7 @@ def shard_assignment(spark, sf):
     return s.join(shard.shards_of_head(s, "semantic"), "shard").select("shard", F.array_join(F.array_sort("heads"), " ").alias("heads"))
 
 
-# ---------------------------------------------------------------- translation and fusion
+# ---- translation and fusion
 
 
 @query(f"SELECT vec_id AS doc_num, {MARK.format('embedding')} AS mark FROM embeddings")
@@ -498,7 +498,7 @@ def run_protocols(spark, sf):
     return spark.createDataFrame([(n, p["kind"], p["builds"], p["query_runs"]) for n, p in found], "n bigint, kind string, builds int, runs int")
 
 
-# ---------------------------------------------------------------- measures
+# ---- measures
 
 
 QUALITY = f"""{lists_sql(50)},

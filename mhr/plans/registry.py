@@ -81,7 +81,7 @@ def attend_sql(w: str, heads: str = "true", k: int = 10) -> str:
     return f"{lists_sql(max(5 * k, 20), heads)},\n{fused_sql(w, k)}\n{OUT}"
 
 
-# ---------------------------------------------------------------- attend
+# ---- attend
 
 
 @query(attend_sql("1.0 / 3"))
@@ -154,7 +154,7 @@ def attend_hydrated(spark, sf):
     return shown(fusion.hydrate(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS), table(spark, sf, "documents"), ["lang", "source", "n_chars"]))
 
 
-# ---------------------------------------------------------------- nearest neighbours
+# ---- nearest neighbours
 
 
 def knn_sql(score: str, k: int = 10) -> str:
@@ -274,7 +274,7 @@ def knn_ivf_recall(spark, sf):
     return out
 
 
-# ---------------------------------------------------------------- fusion on its own
+# ---- fusion on its own
 
 
 @query(f"{lists_sql(50)}\nSELECT qid, head, doc_num, round(score, 9) AS score FROM n")
@@ -313,7 +313,7 @@ def rrf_k60(spark, sf):
     return shown(fusion.reciprocal_rank_fusion(raw_lists(spark, sf), 10, 60))
 
 
-# ---------------------------------------------------------------- vector expressions
+# ---- vector expressions
 
 
 @query("SELECT vec_id AS doc_num, round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS dot, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS cosine, round(list_distance(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS l2, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
@@ -379,7 +379,7 @@ def corrupted_head(spark, sf):
     return shown(fusion.attend(wide(spark, sf).withColumn("temporal", V.noisy(F.col("temporal"), 0.5, F.col("doc_num"), 0.2)), asking(spark, sf), HEADS))
 
 
-# ---------------------------------------------------------------- keyword search
+# ---- keyword search
 
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -470,7 +470,7 @@ def attend_hybrid(spark, sf):
     return shown(fusion.attend_hybrid(dense, bm25.search(table(spark, sf, "documents"), asked_tokens(spark, sf), 50)))
 
 
-# ---------------------------------------------------------------- store
+# ---- store
 
 
 def event_log(spark, sf):
@@ -540,7 +540,7 @@ def engine_stats(spark, sf):
     return long.join(labels, "doc_num").groupBy("collection").agg(F.countDistinct("head").alias("heads"), F.count("vec").alias("vectors"))
 
 
-# ---------------------------------------------------------------- measures
+# ---- measures
 
 
 def by_label(spark, sf):

@@ -56,7 +56,7 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.counts = spark, folder.rstrip("/"), Counter()
 
-    # ------------------------------------------------------------ catalog
+    # ---- catalog
 
     def _path(self, name: str, what: str) -> str:
         return f"{self.folder}/{checked_name(name)}/{what}"
@@ -109,7 +109,7 @@ class Engine:
     def delete_collection(self, name: str) -> None:
         store.remove(self.spark, f"{self.folder}/{checked_name(name)}")
 
-    # ------------------------------------------------------------ documents
+    # ---- documents
 
     def _append(self, name: str, rows: DataFrame, op: str) -> int:
         """rows: (key, payload, n); one commit: all or nothing."""
@@ -226,7 +226,7 @@ class Engine:
         total = {"collections": len(stats), "heads": sum(s[1] for s in stats), "vectors": sum(s[2] for s in stats)}
         return {"alive": True, "ready": self.is_persistent(), **total, "operations": dict(self.counts)}
 
-    # ------------------------------------------------------------ search
+    # ---- search
 
     def search(self, name: str, vector: Sequence[float], heads: Sequence[str] | None = None, top_k: int = 10, offset: int = 0, text: str | None = None, weights: Mapping[str, float] | None = None, min_weight: float | None = None, temporal_decay: float | None = None, where: Column | str | None = None, approximate: bool = False) -> DataFrame:
         """(rank, doc_num, score, fields, has_more): multi-head attend, with `text` fused with keywords by reciprocal rank.
@@ -294,7 +294,7 @@ class Engine:
         heads = None if s.heads in ((), ("default",)) else s.heads
         return self.search(s.collection, vector, heads, s.top_k, weights=None, min_weight=s.min_weight, temporal_decay=s.decay)
 
-    # ------------------------------------------------------------ admin
+    # ---- admin
 
     def compact(self, name: str) -> int:
         """Writes the latest live rows of all commits up to the first unfinished one as a base, sorted by key; rows in it.

@@ -96,6 +96,19 @@ def overhead_removed(samples: DataFrame, value: str, null_p50: float, least: flo
     return samples.withColumn("net", F.greatest(F.col(value) - null_p50, F.lit(least)))
 
 
+def calibrated(samples: DataFrame, null_samples: DataFrame, value: str, least: float = 0.001) -> DataFrame:
+    """Adds net: the samples less the median of queries that do nothing."""
+    p50 = quantiles(null_samples, value, [0.5]).first()
+    return overhead_removed(samples, value, p50.x if p50 else 0.0, least)
+
+
+def saturation(samples: DataFrame, level: str, value: str) -> DataFrame:
+    """One row (concurrency, qps): the level of the best mean throughput (ties: the lower)."""
+    t = samples.groupBy(F.col(level).alias("concurrency")).agg(F.avg(value).alias("qps"))
+    best = t.agg(F.max_by(F.struct("concurrency", "qps"), F.struct("qps", -F.col("concurrency"))).alias("r"))
+    return best.select("r.concurrency", F.round("r.qps", 6).alias("qps"))
+
+
 def consensus(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Mean size of the intersection of two top-k lists (a count, as defined)."""
     qs = a.select("qid").union(b.select("qid")).distinct()

@@ -306,6 +306,16 @@ def fvecs_round_trip(spark, sf):
     return marks(fvecs.read_fvecs(spark, path, 64))
 
 
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT *, ('0x' || substr(md5('5:' || i), 1, 10))::BIGINT / 1099511627776.0::DOUBLE AS u FROM e),
+s AS (SELECT a.i AS qid, b.i AS doc_num, round(-list_distance(a.v, b.v), 9) AS d FROM u a, u b WHERE a.u < 0.1 AND b.u >= 0.1)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d DESC, doc_num) AS rank, doc_num, round(-d * d, 6) + 0.0 AS score FROM s QUALIFY rank <= 100""")
+def fvecs_dataset(spark, sf):
+    """A vector file cut into base and queries, with the exact nearest by squared distance."""
+    path = new_path(spark, "fvecs")
+    fvecs.write_fvecs(plain(spark, sf, "doc_num"), path)
+    return fvecs.dataset(spark, path, 64)[2].withColumn("score", F.round("score", 6) + 0.0)
+
+
 @query("SELECT true AS verified, true AS damage_found, count(*) AS rows FROM events")
 def sst_checksum(spark, sf):
     """A sorted table with its checksum: opened, and refused after a row more; one without a checksum is read as it is."""

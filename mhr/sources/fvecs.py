@@ -57,6 +57,17 @@ def write_fvecs(vectors: DataFrame, path: str) -> int:
 
 
 def split(vectors: DataFrame, share: float = 0.1, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(base, queries) by a seeded hash of the id."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "doc_num"), F.lit(1_000_003)) / 1_000_003.0
+    """(base, queries) by an MD5 of seed and id, the same in any engine."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("doc_num").cast("string"))
+    u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 10), 16, 10).cast("bigint") / float(1 << 40)
     return vectors.where(u >= share), vectors.where(u < share)
+
+
+def dataset(spark: SparkSession, path: str, dim: int, k: int = 100, share: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, queries, truth) of a vector file: a tenth of it asks, truth (qid, rank, doc_num, score) are the k nearest of the
+    base by exact search, the score being the negative squared distance."""
+    from mhr.operators.search import knn
+
+    base, asked = split(read_fvecs(spark, path, dim), share)
+    asked = asked.withColumnRenamed("doc_num", "qid")
+    return base, asked, knn(base, asked, k, "l2").withColumn("score", -F.col("score") * F.col("score"))

@@ -352,3 +352,18 @@ def test_translation_errors(spark):
     assert translate.per_head(df.withColumn("enabled", F.array(F.lit("semantic"))), "id").count() == 0
     with pytest.raises(ValueError):
         translate.validate("other", translate.Capabilities())
+
+
+def test_contrastive_gradients():
+    """Against differences of the loss."""
+    r = np.random.RandomState(3)
+    p, q, pos, negs = learn.Projection.init(4, 1), r.randn(5, 4), r.randn(5, 4), r.randn(3, 4)
+    _, gq, gk = learn.info_nce_gradients(p, q, pos, negs, 0.5)
+    for name, g in (("q", gq), ("k", gk)):
+        for i, j in ((0, 1), (2, 3), (3, 0)):
+            w, loss = getattr(p, name), []
+            for step in (1e-5, -2e-5):
+                w[i, j] += step
+                loss.append(learn.info_nce_gradients(p, q, pos, negs, 0.5)[0])
+            w[i, j] += 1e-5
+            assert g[i, j] == pytest.approx((loss[0] - loss[1]) / 2e-5, rel=1e-4, abs=1e-6)

@@ -111,9 +111,9 @@ def saturation(samples: DataFrame, level: str, value: str) -> DataFrame:
 
 def consensus(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Mean size of the intersection of two top-k lists (a count, as defined)."""
-    qs = a.select("qid").union(b.select("qid")).distinct()
-    both = a.where(F.col("rank") <= k).join(b.where(F.col("rank") <= k).select("qid", "doc_num"), ["qid", "doc_num"]).groupBy("qid").count()
-    return qs.join(both, "qid", "left").agg(F.round(F.avg(F.coalesce("count", F.lit(0))), 6).alias("consensus"))
+    side = lambda x, n: x.select("qid", "doc_num", *[F.when(F.col("rank") <= k, 1 if m == n else 0).otherwise(0).alias(m) for m in "ab"])  # noqa: E731 - either list is read once
+    both = side(a, "a").unionByName(side(b, "b")).groupBy("qid", "doc_num").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return both.groupBy("qid").agg(F.sum(F.col("a") * F.col("b")).alias("count")).agg(F.round(F.avg("count"), 6).alias("consensus"))
 
 
 def gating_efficiency(gated: DataFrame, uniform: DataFrame, key: str = "qid", measure: str = "ndcg") -> DataFrame:

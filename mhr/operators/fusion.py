@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mhr.functions.vectors import project, softmax
+from mhr.sources.shared import stored
 
 from .search import head_lists, ranked, weight_of
 
@@ -30,6 +31,14 @@ def fuse(lists: DataFrame, weight: Column, k: int | None = None) -> DataFrame:
     return ranked(summed, ["qid"], k).select("qid", "rank", "doc_num", "score")
 
 
+def fuse_both(lists: DataFrame, a: Column, b: Column, k: int) -> tuple[DataFrame, DataFrame]:
+    """`fuse` by two weightings: the lists are made and summed once, and what is among either's best is stored."""
+    sums = lists.groupBy("qid", "doc_num").agg(*[F.round(F.sum(F.col("score") * w), 9).alias(n) for n, w in (("a", a), ("b", b))])
+    place = lambda n: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(n), "doc_num")).cast("bigint")
+    both = stored(sums.withColumn("ra", place("a")).withColumn("rb", place("b")).where((F.col("ra") <= k) | (F.col("rb") <= k)), "fused")
+    return tuple(both.where(F.col(f"r{n}") <= k).select("qid", F.col(f"r{n}").alias("rank"), "doc_num", F.col(n).alias("score")) for n in "ab")
+
+
 def weighted_fuse(lists: DataFrame, weights: dict[str, float], k: int | None = None) -> DataFrame:
     """Weights by head name; a head without one counts 1."""
     return fuse(lists, weight_of(F.col("head"), weights), k)

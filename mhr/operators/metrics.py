@@ -24,16 +24,39 @@ def quality(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """
     hits = results.where(F.col("rank") <= k).join(relevant, ["qid", "doc_num"], "left")
     disc = F.log2(F.col("rank") + 1)
-    rel = F.when(F.col("grade") > 0, 1.0).otherwise(0.0)
-    per = hits.groupBy("qid").agg(F.sum(rel).alias("hits"), F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first"), F.sum(rel / disc).alias("dcg"), F.sum((F.pow(F.lit(2.0), F.coalesce("grade", F.lit(0))) - 1) / disc).alias("gdcg"))
     best = relevant.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), "doc_num")))
     ideal = best.groupBy("qid").agg(F.count("*").alias("all"), F.sum(F.when(F.col("rank") <= k, 1.0 / disc).otherwise(0.0)).alias("idcg"), F.sum(F.when(F.col("rank") <= k, (F.pow(F.lit(2.0), F.col("grade")) - 1) / disc).otherwise(0.0)).alias("igdcg"))
+    return _measures(hits, ideal, k)
+
+
+def _measures(hits: DataFrame, ideal: DataFrame, k: int) -> DataFrame:
+    """hits: (qid, rank, grade or null); ideal: (qid, all, idcg, igdcg)."""
+    disc = F.log2(F.col("rank") + 1)
+    rel = F.when(F.col("grade") > 0, 1.0).otherwise(0.0)
+    per = hits.groupBy("qid").agg(F.sum(rel).alias("hits"), F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first"), F.sum(rel / disc).alias("dcg"), F.sum((F.pow(F.lit(2.0), F.coalesce("grade", F.lit(0))) - 1) / disc).alias("gdcg"))
     z = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9)
     return ideal.join(per, "qid", "left").select(
         "qid", z(F.col("hits") / F.col("all")).alias("recall"), z(1.0 / F.col("first")).alias("mrr"), z(F.least(F.lit(1.0), F.try_divide("dcg", "idcg"))).alias("ndcg"), z(F.least(F.lit(1.0), F.try_divide("gdcg", "igdcg"))).alias("ndcg_graded"), z(F.col("hits") / k).alias("precision")
     )
 
 
+def quality_by_class(results: DataFrame, ids: DataFrame, k: int, within: int = 0) -> DataFrame:
+    """`quality` where the relevant documents are all others (id, label) of the query's label, graded 2 if their ids are at most
+    `within` apart, else 1.  Relevant ones are counted, not listed: pairs of a label would grow as its square."""
+    own = ids.dropna().groupBy("id", "label").agg(F.count("*").alias("c"))
+    near = own.select("label", F.explode(F.sequence(F.col("id") - within, F.col("id") + within)).alias("id"), F.col("id").alias("qid")).where("id <> qid").join(own, ["label", "id"]).groupBy("label", "qid").agg(F.sum("c").alias("near"))
+    size = own.groupBy("label").agg(F.sum("c").alias("n"))
+    each = own.withColumnRenamed("id", "qid").join(size, "label").join(near, ["label", "qid"], "left")
+    counts = each.groupBy("qid").agg(F.sum(F.col("c") * (F.col("n") - F.col("c"))).alias("all"), F.sum(F.col("c") * F.coalesce("near", F.lit(0))).alias("two")).where(F.col("all") > 0)
+    gain = lambda first, last: F.coalesce(F.aggregate(F.filter(F.sequence(F.lit(1), F.lit(k)), lambda i: (i > first) & (i <= last)), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1)), F.lit(0.0))
+    ideal = counts.select("qid", "all", gain(F.lit(0), F.col("all")).alias("idcg"), (3 * gain(F.lit(0), F.col("two")) + gain(F.col("two"), F.col("all"))).alias("igdcg"))
+    labels = ids.dropna().groupBy("id").agg(F.collect_list("label").alias("l"))
+    both = results.where(F.col("rank") <= k).join(labels.select(F.col("id").alias("qid"), F.col("l").alias("ql")), "qid", "left").join(labels.select(F.col("id").alias("doc_num"), F.col("l").alias("dl")), "doc_num", "left")
+    times = F.when(F.col("qid") != F.col("doc_num"), F.aggregate("ql", F.lit(0), lambda s, x: s + F.size(F.filter("dl", lambda y: x == y))))
+    grade = F.when(times > 0, F.when(F.abs(F.col("qid") - F.col("doc_num")) <= within, 2).otherwise(1))
+    return _measures(both.select("qid", "rank", F.explode(F.array_repeat(grade, F.greatest(F.lit(1), times))).alias("grade")), ideal, k)
+
+
 #: Rank error of the sketch that narrows a quantile down, as a share of the rows.
 ACCURACY = 10_000
 

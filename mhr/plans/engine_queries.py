@@ -12,7 +12,7 @@ from mhr.sources import fvecs, sinks, store
 from mhr.sources.shared import new_path
 
 from . import lang
-from .registry import COS2, HEADS, OUT, V_SQL, asking, attend_sql, by_label, event_log, fused_sql, gappy, knn_sql, lists_sql, plain, query, raw_lists, shown, table, wide
+from .registry import COS2, HEADS, OUT, V_SQL, asking, attend_sql, event_log, fused_sql, gappy, knn_sql, label_quality, lists_sql, plain, query, raw_lists, shown, table, wide
 from .session import Engine
 
 # ---- collections
@@ -524,10 +524,10 @@ def ndcg_sql(name: str, source: str) -> str:
 {ndcg_sql('a', 'r1')}, {ndcg_sql('b', 'r')} SELECT qid, round(CASE WHEN b.ndcg < 1e-15 THEN 0 ELSE (a.ndcg - b.ndcg) / b.ndcg END, 6) AS efficiency FROM a JOIN b USING (qid)""")
 def gating_efficiency(spark, sf):
     """What weights gain over uniform ones in nDCG."""
-    truth = by_label(spark, sf).withColumn("grade", F.lit(1))
-    quality = lambda w: metrics.quality(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS, weights=w), truth, 10)
-    uniform = metrics.quality(fusion.attend(wide(spark, sf), asking(spark, sf), HEADS), truth, 10)
-    return metrics.gating_efficiency(quality({"semantic": 0.8, "temporal": 0.1, "structural": 0.1}), uniform).withColumn("efficiency", F.round("efficiency", 6))
+    lists = fusion.max_normalised(search.head_lists(wide(spark, sf), asking(spark, sf), HEADS, fusion.fetch_count(10)))
+    gained, plain_ = fusion.fuse_both(lists, search.weight_of(F.col("head"), {"semantic": 0.8, "temporal": 0.1, "structural": 0.1}), F.lit(1.0 / len(HEADS)), 10)
+    quality = lambda found: label_quality(spark, sf, found, 10, False)
+    return metrics.gating_efficiency(quality(gained), quality(plain_)).withColumn("efficiency", F.round("efficiency", 6))
 
 
 CURVES = "WITH p AS (SELECT label, vec_id, rank() OVER (PARTITION BY label ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings), c AS (SELECT label, i::DOUBLE / n AS recall, 10000.0::DOUBLE * (label + 1) / i AS qps FROM p)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mhr.functions.vectors import project, softmax
 from mhr.sources.shared import stored
 
-from .search import head_lists, ranked, weight_of
+from .search import head_lists, lists_to_fuse, ranked, weight_of
 
 OVERFETCH, LEAST = 5, 20
 
@@ -76,19 +76,14 @@ def attend(vectors: DataFrame, queries: DataFrame, heads: Sequence[str], k: int
     its share of a uniform weight is not given to others.
     """
     there = [h for h in heads if h in vectors.columns and h in queries.columns]
-    lists = max_normalised(head_lists(vectors, queries, there, fetch_count(k), metric))
-    if weights is not None:
-        w = weight_of(F.col("head"), weights)
-    elif gates is not None:
-        lists = lists.join(gates.withColumnRenamed("gate", "w"), ["qid", "head"])
-        w = F.col("w")
-    else:
-        w = F.lit(1.0 / len(heads))
-    if temporal_decay is not None:
-        w = F.when(F.col("head") == "temporal", w * F.lit(float(temporal_decay))).otherwise(w)
-    if min_weight is not None:
-        lists = lists.where(w >= min_weight)
-    return fuse(lists, w, k)
+    decay = 1.0 if temporal_decay is None else float(temporal_decay)
+    if weights is not None or gates is None:  # known by name: heads that drop out aren't searched, documents that can't win not shuffled
+        by_name = {h: float(1.0 / len(heads) if weights is None else weights.get(h, 1.0)) * (decay if h == "temporal" else 1.0) for h in there}
+        by_name = {h: w for h, w in by_name.items() if min_weight is None or w >= min_weight}
+        return fuse(lists_to_fuse(vectors, queries, by_name, fetch_count(k), k, metric), weight_of(F.col("head"), by_name), k)
+    w = F.when(F.col("head") == "temporal", F.col("w") * decay).otherwise(F.col("w"))
+    lists = max_normalised(head_lists(vectors, queries, there, fetch_count(k), metric)).join(gates.withColumnRenamed("gate", "w"), ["qid", "head"])
+    return fuse(lists if min_weight is None else lists.where(w >= min_weight), w, k)
 
 
 def attend_hybrid(dense: DataFrame, sparse: DataFrame, k: int = 10) -> DataFrame:

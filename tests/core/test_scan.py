@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mhr.operators import search
+from mhr.operators import fusion, search
 from mhr.operators.scan import Best, Block
 
 
@@ -58,3 +59,15 @@ def test_ground_truth_ranks_by_the_rounded_mean(spark):
     want = sorted(sums, key=lambda d: (-round(sums[d] / 3, 9), d))
     got = [r.doc_num for r in search.ground_truth(docs, q, ["a", "b", "c"], 4).orderBy("rank").collect()]
     assert got == want and want != sorted(sums, key=lambda d: -sums[d])
+
+
+def test_lists_to_fuse_hold_all_that_may_win(spark):
+    """Few rows go on to fusion, and with them it gives what whole lists give."""
+    x = np.random.RandomState(4).randn(400, 8)
+    x[300:] = -x[:100]  # scores below zero
+    docs = table(spark, x, "doc_num", "a", "b").selectExpr("doc_num", "a", "CASE WHEN doc_num % 3 > 0 THEN reverse(b) END AS b")
+    qs = table(spark, x[:120], "qid", "a", "b").selectExpr("qid", "a", "CASE WHEN qid % 7 > 0 THEN b END AS b")
+    whole, some = fusion.max_normalised(search.head_lists(docs, qs, ["a", "b"], 50)), search.lists_to_fuse(docs, qs, {"a": 0.7, "b": 0.3}, 50, 5)
+    w = search.weight_of(F.col("head"), {"a": 0.7, "b": 0.3})
+    assert sorted(map(tuple, fusion.fuse(whole, w, 5).collect())) == sorted(map(tuple, fusion.fuse(some, w, 5).collect()))
+    assert some.count() < whole.count() / 4

@@ -20,7 +20,9 @@ from mhr.sources.shared import stored
 #: Rows of a tile of queries, and of the blocks that are multiplied with it; queries of a task at once, and places they may keep.
 TILE, STEP, ASKED, PLACES = 2048, 4096, 16_384, 8_000_000
 #: Rows that are scored in double precision at once, pairs that are.
-DENSE, PAIRS = 512, 32_768
+DENSE, PAIRS = 512, 4096
+#: Products made at once, which should stay in a core's cache, and rows of a block that are compared by their greatest product.
+CACHED, GROUP = 1 << 18, 16
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -56,7 +58,8 @@ class Block:
         self.ids, self.rows = ids[order], rows[order]
         near = np.column_stack([self.rows, (self.rows**2).sum(1) / 2]) if metric == "l2" else self.rows
         self.most = 1.0 if metric == "cosine" else max(1e-300, float(np.linalg.norm(near, axis=1).max(initial=0)))
-        self.near = (near / self.most).astype(np.float32).T
+        self.near = np.zeros((-(-len(near) // GROUP) * GROUP, near.shape[1]), np.float32)
+        self.near[: len(near)] = near / self.most
 
 
 class Best:
@@ -74,10 +77,24 @@ class Best:
         self.error = (near.shape[1] + 8) * 2.0**-23  # twice what rounding can do to a product of rows of norm 1
         self.square = (rows**2).sum(1) if metric == "l2" else None
         self.floor = np.full(self.n, -np.inf)  # the m-th best score
-        self.r, self.ids, self.s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.have = np.zeros(self.n, np.int64)
+        self.down, self.docs = np.empty((self.n, 0)), np.empty((self.n, 0), np.int64)  # the best, negative, and their ids; the first `have` of a row are filled
         self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
+    @property
+    def r(self) -> np.ndarray:
+        """The query of each of the best that were merged; queries in order, their best first."""
+        return np.repeat(np.arange(self.n), self.have)
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.docs[np.arange(self.docs.shape[1]) < self.have[:, None]]
+
+    @property
+    def s(self) -> np.ndarray:
+        return -self.down[np.arange(self.down.shape[1]) < self.have[:, None]] + 0.0
+
     def scored(self, s: np.ndarray) -> np.ndarray:
         if self.metric == "cosine":
             s = np.clip(s, -1, 1)
@@ -104,15 +121,7 @@ class Best:
         dense, at = [at[open_]], at[~open_]
         if len(at):
             low = np.maximum(self.least(block, at), np.finfo(np.float32).min).astype(np.float32)
-            hit = (self.near if len(at) == self.n else self.near[at]) @ block.near >= low[:, None]
-            flat = hit.ravel()
-            if flat.size % 8 == 0:
-                words = np.flatnonzero(flat.view(np.uint64))
-                i = (words[:, None] * 8 + np.arange(8)).ravel() if len(words) * 8 < flat.size // 2 else np.arange(flat.size)
-                i = i[flat[i]]
-            else:
-                i = np.flatnonzero(flat)
-            r, c = np.divmod(i, len(block.ids))
+            r, c = self.hits(block, self.near if len(at) == self.n else self.near[at], low)
             many = np.bincount(r, minlength=len(at)) > max(4 * self.m, len(block.ids) // 8)
             if many.any():
                 dense.append(at[many])
@@ -126,6 +135,35 @@ class Best:
         if self.waiting >= max(4096, self.n * self.m // 4):
             self.merge()
 
+    @staticmethod
+    def hits(block: Block, near: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row of the block) wherever the product isn't below the query's bound.
+
+        Products are made a piece at a time; of each GROUP rows only the greatest is compared, as few groups have any to keep.
+        """
+        n, found = len(near), []
+        step = max(1, min(512, CACHED // n) // GROUP) * GROUP
+        room = np.empty((min(step, len(block.near)), n), np.float32)
+        for lo in range(0, len(block.near), step):
+            rows = block.near[lo : lo + step]
+            s = np.matmul(rows, near.T, out=room[: len(rows)]).reshape(-1, GROUP, n)
+            some = ~(s.max(axis=1) < low).ravel()  # a product that is no number hides no other
+            if some.size % 8 == 0:
+                words = np.flatnonzero(some.view(np.uint64))
+                i = (words[:, None] * 8 + np.arange(8)).ravel()
+                i = i[some[i]]
+            else:
+                i = np.flatnonzero(some)
+            if len(i):
+                g, r = np.divmod(i, n)
+                at, c = np.nonzero(s[g, :, r] >= low[r][:, None])
+                found.append((r[at], lo + g[at] * GROUP + c))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        r, c = (np.concatenate(x) for x in zip(*found))
+        own = c < len(block.ids)  # rows that fill the last group
+        return r[own], c[own]
+
     def pairs(self, block: Block, r: np.ndarray, c: np.ndarray) -> None:
         a, b = self.rows[r], block.rows[c]
         s = self.scored(-np.linalg.norm(a - b, axis=1) if self.metric == "l2" else np.einsum("ij,ij->i", a, b))
@@ -151,14 +189,29 @@ class Best:
     def merge(self) -> None:
         if not self.new:
             return
-        r, ids, s = (np.concatenate(x) for x in zip((self.r, self.ids, self.s), *self.new))
-        order = np.lexsort((ids, -s, r))
-        r = r[order]
-        place = np.arange(len(r)) - np.searchsorted(r, np.arange(self.n))[r]
-        few = place < self.m
-        self.r, self.ids, self.s = r[few], ids[order][few], s[order][few]
-        last = place == self.m - 1
-        self.floor[r[last]] = s[order][last]
+        r, ids, s = (np.concatenate(x) for x in zip(*self.new))
+        order = np.argsort(r, kind="stable")
+        r, ids, s = r[order], ids[order], s[order]
+        count = np.bincount(r, minlength=self.n)
+        place = np.arange(len(r)) - (np.cumsum(count) - count)[r]
+        more = min(self.m, int((self.have + count).max())) - self.down.shape[1]
+        if more > 0:
+            self.down = np.column_stack([self.down, np.full((self.n, more), np.nan)])
+            self.docs = np.column_stack([self.docs, np.full((self.n, more), np.iinfo(np.int64).max)])
+        old, size = self.down.shape[1], np.frexp(count)[1]
+        for w in np.unique(size[size > 0]):  # queries with about as many new ones
+            rows, own = np.flatnonzero(size == w), size[r] == w
+            width = old + int(count[rows].max())
+            down, docs = np.full((len(rows), width), np.nan), np.full((len(rows), width), np.iinfo(np.int64).max)  # sorted last
+            down[:, :old], docs[:, :old] = self.down[rows], self.docs[rows]
+            at = np.searchsorted(rows, r[own]), old + place[own]
+            down[at], docs[at] = -s[own], ids[own]
+            order = np.lexsort((docs, down))[:, :old]
+            self.down[rows], self.docs[rows] = np.take_along_axis(down, order, 1), np.take_along_axis(docs, order, 1)
+        self.have = np.minimum(self.have + count, self.m)
+        full = (count > 0) & (self.have == self.m)
+        if full.any():
+            self.floor[full] = -self.down[full, self.m - 1] + 0.0
         self.new, self.waiting = [], 0
 
 

@@ -71,3 +71,24 @@ def test_lists_to_fuse_hold_all_that_may_win(spark):
     w = search.weight_of(F.col("head"), {"a": 0.7, "b": 0.3})
     assert sorted(map(tuple, fusion.fuse(whole, w, 5).collect())) == sorted(map(tuple, fusion.fuse(some, w, 5).collect()))
     assert some.count() < whole.count() / 4
+
+
+def test_products_are_made_a_piece_at_a_time():
+    """A tile of queries against a block needs a few MB, whatever is kept equals brute force, and a row that is no number hides no other."""
+    import tracemalloc
+
+    r = np.random.RandomState(6)
+    docs, asked = search.unit_rows(r.randn(8192, 16)), search.unit_rows(r.randn(2048, 16))
+    docs[4100] = np.nan
+    first, second = Block(np.arange(4096), docs[:4096], "cosine"), Block(np.arange(4096, 8187), docs[4096:8187], "cosine")
+    best = Best(asked, "cosine", 5)
+    best.add(first)
+    best.merge()
+    tracemalloc.start()
+    best.add(second)
+    best.merge()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = np.where(np.isnan(docs[:8187, 0]), -2, np.round(asked @ np.nan_to_num(docs[:8187]).T, 9))
+    assert (best.ids.reshape(-1, 5) == np.argsort(-s, axis=1, kind="stable")[:, :5]).all()
+    assert peak < 16 << 20

@@ -12,7 +12,7 @@ from mhr.sources import fvecs, sinks, store
 from mhr.sources.shared import new_path
 
 from . import lang
-from .registry import COS2, HEADS, OUT, V_SQL, asking, attend_sql, event_log, fused_sql, gappy, knn_sql, label_quality, lists_sql, plain, query, raw_lists, shown, table, wide
+from .registry import COS2, HEADS, OUT, V_SQL, asking, attend_sql, event_log, fused_sql, gappy, knn_sql, label_quality, lists_sql, plain, query, shown, table, wide
 from .session import Engine
 
 # ---- collections
@@ -419,7 +419,8 @@ DEMO = "CASE head WHEN 'temporal' THEN 0.7 WHEN 'semantic' THEN 1 ELSE 0.5 END"
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_num) AS rank, doc_num, score FROM g QUALIFY rank <= 5""")
 def fuse_by_best(spark, sf):
     """Weighted sums over the best of them."""
-    return fusion.fuse_by_best(raw_lists(spark, sf), {"temporal": 0.7, "structural": 0.5}, 5)
+    weights = {"semantic": 1.0, "temporal": 0.7, "structural": 0.5}
+    return fusion.fuse_by_best(search.lists_to_fuse(wide(spark, sf), asking(spark, sf), weights, 20, 5, normal=False), weights, 5)
 
 
 def failing_sql(temporal: str, queries: bool = False) -> str:

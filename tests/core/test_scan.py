@@ -92,3 +92,46 @@ def test_products_are_made_a_piece_at_a_time():
     s = np.where(np.isnan(docs[:8187, 0]), -2, np.round(asked @ np.nan_to_num(docs[:8187]).T, 9))
     assert (best.ids.reshape(-1, 5) == np.argsort(-s, axis=1, kind="stable")[:, :5]).all()
     assert peak < 16 << 20
+
+
+def two_heads(spark):
+    x = np.random.RandomState(7).randn(300, 8)
+    x[250:] = -x[:50]
+    docs = table(spark, x, "doc_num", "a", "b").selectExpr("doc_num", "a", "CASE WHEN doc_num % 3 > 0 THEN reverse(b) END AS b")
+    return docs, table(spark, x[:90], "qid", "b", "a")
+
+
+def test_pooled_heads_are_cut_before_the_shuffle(spark):
+    """Each task sends on the k first of all heads, in either order, and the result is that of whole lists."""
+    docs, qs = two_heads(spark)
+    whole = search.head_lists(docs, qs, ["b", "a"], 10).drop("rank").collect()
+    for weights in (None, {"a": 0.4}):
+        for ascending in (False, True):
+            got = search.search_multi(docs, qs, ["b", "a"], 5, weights, ascending)
+            want = []
+            for q in range(90):
+                rows = [(r.score * (weights or {}).get(r.head, 1.0), r.head, r.doc_num) for r in whole if r.qid == q]
+                want += [(q, i + 1, h, d, s) for i, (s, h, d) in enumerate(sorted(rows, key=lambda r: (r[0] if ascending else -r[0], r[1], r[2]))[:5])]
+            assert sorted(map(tuple, got.collect())) == want
+    pool = search._lists(docs, qs, ["b", "a"], 10, "cosine", keep=lambda q, h, d, s, _: search._first_of_all(q, h, d, s, np.ones(2), np.array([1, 0]), 5, -1))
+    assert pool.count() == 90 * 5
+
+
+def test_sums_over_the_best_need_few_rows(spark):
+    docs, qs = two_heads(spark)
+    w = {"a": 1.0, "b": 0.5}
+    whole, some = search.head_lists(docs, qs, list(w), 20), search.lists_to_fuse(docs, qs, w, 20, 5, normal=False)
+    assert sorted(map(tuple, fusion.fuse_by_best(whole, w, 5).collect())) == sorted(map(tuple, fusion.fuse_by_best(some, w, 5).collect()))
+    assert some.count() < whole.count() / 2
+
+
+def test_gates_cut_lists_before_the_shuffle(spark):
+    """Weights of each query, some missing: few rows go on, and fusion gives what whole lists give."""
+    docs, qs = two_heads(spark)
+    gates = spark.createDataFrame([(q, h, (q % 7 + 1) / (9.0 if h == "a" else 5.0)) for q in range(85) for h in "ab" if (q % 5, h) != (0, "b")], "qid bigint, head string, gate double")
+    lists = fusion.max_normalised(search.head_lists(docs, qs, ["a", "b"], 50)).join(gates, ["qid", "head"])
+    for least in (None, 0.5):
+        want = fusion.fuse(lists if least is None else lists.where(F.col("gate") >= least), F.col("gate"), 10)
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, fusion.attend(docs, qs, ["a", "b"], gates=gates, min_weight=least).collect()))
+    some = search.lists_to_gate(docs, qs, ["a", "b"], gates.withColumnRenamed("gate", "w"), 50, 10)
+    assert some.count() < lists.count() / 3

@@ -42,9 +42,11 @@ def project(v: Column, rows: Sequence[Sequence[float]]) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    """Logits and exponentials are bound to lambdas' variables, so neither is made again for each element."""
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    exps = lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+    shares = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    return once(logits, lambda z: once(exps(z), shares))
 
 
 def info_nce(q: Column, positive: Column, negatives: Column, tau: float = 0.07) -> Column:

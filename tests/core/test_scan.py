@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mhr.functions import vectors as V
 from mhr.operators import fusion, search
 from mhr.operators.scan import Best, Block
 
@@ -135,3 +136,14 @@ def test_gates_cut_lists_before_the_shuffle(spark):
         assert sorted(map(tuple, want.collect())) == sorted(map(tuple, fusion.attend(docs, qs, ["a", "b"], gates=gates, min_weight=least).collect()))
     some = search.lists_to_gate(docs, qs, ["a", "b"], gates.withColumnRenamed("gate", "w"), 50, 10)
     assert some.count() < lists.count() / 3
+
+
+def test_gates_make_each_logit_once(spark):
+    """The net's matrix stands once in the plan's expression of the gates, which are right, and nulls for a null vector."""
+    w = [[0.5, -1.0], [2.0, 0.25]]
+    qs = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "qid bigint, vec array<double>")
+    one = qs.select("qid", V.softmax(V.project(F.col("vec"), w)).alias("g"))
+    z = np.array(w) @ [1.0, 2.0]
+    got = {r.qid: r.g for r in one.collect()}
+    assert got[1] == pytest.approx(list(np.exp(z) / np.exp(z).sum())) and got[2] == [None, None]
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("0.25") <= 1
